@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, packing, qualityrules, sharding
 from recallkit.session import materialize
 
+from . import bpe, exactsearch, linededup, lmscore, nearjoin, packing, qualityclassifier, qualityrules, sharding, toxicity
+
 BYTE_RANKS, WORD_FILE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
 
@@ -64,12 +65,52 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.judge(docs).drop("lang")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return nearjoin.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    model = qualityclassifier.train(docs, table(spark, sf_dir, "labels"))
+    return qualityclassifier.judge(docs, model).drop("text")
+
+
+def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lmscore.score(docs, *lmscore.train(docs)).drop("text")
+
+
+def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    vectors = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", whole.alias("vector"))
+    pivots = materialize(exactsearch.pivot_table(vectors))
+    return exactsearch.top_k(pivots, pivots.where("vec_id % 50 = 0"), 5)
+
+
+def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_vector_packing": op4_vector_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_pseudo_likelihood": op7_pseudo_likelihood,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pivot_search": op9_pivot_search,
+    "op10_noisy_or_toxicity": op10_noisy_or_toxicity,
 }
 
 ORACLE: dict[str, str] = {}

@@ -32,12 +32,13 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links join: the one with the least doc_id; of rows with one doc_id, all with the same text are copies and the first text in order stays."""
+    """One document of each group that links join: the one with the least doc_id; of repeated rows (same doc_id and text) one stays."""
     small_batches(spark)
-    classes = nearjoin.near_classes(docs)
+    classes = materialize(nearjoin.near_classes(docs).select("doc_id", "class_id"))
     gone = materialize(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")))
     left = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    repeated = classes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The lower-case letters among them, and the characters that stand for them at a word's end.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 FINALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xDF), 0xF7]))
-#: Distinct chunks whose ids a worker remembers (about 30 bytes each); beyond it the memory starts anew.
-REMEMBERED = 2_000_000
+#: Distinct chunks whose ids a worker remembers (about 40 bytes each): the first ones, among them the common ones.
+REMEMBERED = 400_000
 
 
 class WordTokenizer:
@@ -58,9 +58,6 @@ class WordTokenizer:
         self.engine, self.to_id = _merger(self.full)
         self.final = dict(zip(LETTERS, FINALS, strict=True))
         self.marks: dict[str, bytes] = {}
-        self.forget()
-
-    def forget(self) -> None:
         self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def slow(self, text: str) -> bytes:
@@ -100,8 +97,7 @@ class WordTokenizer:
         """All ids, and where each text's begin and the last's end."""
         s, e, first = texts.words()
         keys, where, which = np.unique(texts.hash(s, e) ^ (e - s).astype(np.uint64), return_index=True, return_inverse=True)
-        if len(self.keys) > REMEMBERED:
-            self.forget()
+        known = (self.keys, self.at, self.n, self.ids)
         k = np.searchsorted(self.keys, keys)
         there = np.zeros(len(keys), bool)
         inside = k < len(self.keys)
@@ -111,13 +107,16 @@ class WordTokenizer:
             coded = self.learn([bytes(texts.data[a:b]).decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
             n = np.array([len(c) // 4 for c in coded], np.int64)
             at = len(self.ids) + np.cumsum(n) - n
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
-            self.keys, self.at, self.n = (np.insert(old, k[~there], add) for old, add in ((self.keys, keys[~there]), (self.at, at), (self.n, n)))
-            k = np.searchsorted(self.keys, keys)
-        size = self.n[k][which]
+            ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+            known = (*(np.insert(old, k[~there], add) for old, add in ((self.keys, keys[~there]), (self.at, at), (self.n, n))), ids)
+            if len(self.keys) < REMEMBERED:
+                self.keys, self.at, self.n, self.ids = known
+            k = np.searchsorted(known[0], keys)
+        _, at, n, ids = known
+        size = n[k][which]
         end = np.cumsum(size)
         begin = np.concatenate([[0], end])
-        flat = self.ids[np.repeat(self.at[k][which] - begin[:-1], size) + np.arange(begin[-1])] if len(size) else self.ids[:0]
+        flat = ids[np.repeat(at[k][which] - begin[:-1], size) + np.arange(begin[-1])]
         return flat, begin[first]
 
 

@@ -86,7 +86,7 @@ def distance(p: str, q: str) -> Column:
     """Jensen-Shannon distance of two arrays of shares; null if either is."""
     part = "if(a > 0, a * log2(2 * a / (a + b)), 0D) + if(b > 0, b * log2(2 * b / (a + b)), 0D)"
     total = f"aggregate(zip_with({p}, {q}, (a, b) -> {part}), 0D, (s, x) -> s + x)"
-    return F.expr(f"sqrt(greatest(0D, {total} / 2))")
+    return F.sqrt(F.when(F.expr(total) < 0, 0.0).otherwise(F.expr(total) / 2))
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", max_char: float = 0.28, max_word: float = 0.30, min_chars: int = 200, min_words: int = 50) -> DataFrame:

@@ -138,3 +138,19 @@ def tail(values: Column, n: int) -> Column:
     """The last n of an array."""
     return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
 
+
+
+def reinforce_recalled(facts: DataFrame, recalled: DataFrame, now: int, s: Settings = DEFAULT) -> DataFrame:
+    """facts with a recall counted for those in recalled (fact_id), unless their last recall is less than the interval ago. Importance never changes."""
+    hit = recalled.select("fact_id").distinct().withColumn("_hit", F.lit(True))
+    due = F.coalesce("_hit", F.lit(False)) & ((F.coalesce("last_recalled_at", F.lit(0)) == 0) | (F.lit(now) - F.col("last_recalled_at") >= s.recall_interval)) & (F.coalesce("memory", F.lit("")) != "")
+    past = F.coalesce("reinforced_at", F.array().cast("array<bigint>"))
+    stamp = F.lit(now).cast("long")
+    changed = {
+        "recall_count": (F.coalesce("recall_count", F.lit(0)) + 1).cast("int"),
+        "reinforced_at": tail(F.concat(past, F.array(stamp)), s.history_kept),
+        "last_reinforced_at": stamp,
+        "last_recalled_at": stamp,
+    }
+    rows = facts.join(hit, "fact_id", "left")
+    return rows.select(*[F.when(due, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in facts.columns])

@@ -631,3 +631,40 @@ def nfkc_filter(spark: SparkSession, d: str) -> DataFrame:
 def json_salvage(spark: SparkSession, d: str) -> DataFrame:
     broken = F.concat(F.lit('{"facts": [{"text": "a}"}, {"id": '), F.col("doc_id").cast("string"), F.lit('}, {"cut": "'))
     return table(spark, d, "documents").select("doc_id", F.array_join(T.salvage_objects(broken, F.lit("facts")), "|").alias("objects"))
+
+
+@query(f"WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS fact_id, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 10) SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, fact_id)::INT AS rank FROM n QUALIFY rank <= 5")
+def history_semantic(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("channel_id"))
+    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "channel_id")
+    return search.knn(q, v.withColumnRenamed("vec_id", "fact_id"), 5, on=["channel_id"]).withColumn("score", R6("score"))
+
+
+@query("WITH v AS (SELECT item_id AS query_id, list_filter([text, lang.l, text[1:9], '', text], lambda t: t <> '') AS a FROM benchmark, (SELECT 'x' AS l) lang) SELECT query_id, (ord - 1)::INT AS variant_ord, variant FROM (SELECT query_id, unnest([a[1], a[2], a[3]]) AS variant, generate_subscripts([a[1], a[2], a[3]], 1) AS ord FROM v)")
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.array(F.lit("x"), F.substring("text", 1, 9), F.lit(""), F.col("text")).alias("more"))
+    return search.expand_queries(b, ["text", "more"])
+
+
+@query(f"WITH {FACTS_SQL}, e AS (SELECT *, CASE WHEN fact_id % 4 = 0 THEN {NOW} - 100 WHEN fact_id % 4 = 1 THEN {NOW} - 30000 END AS lr FROM facts), r AS (SELECT *, fact_id % 2 = 0 OR fact_id % 5 = 1 AS hit FROM e), u AS (SELECT *, hit AND (lr IS NULL OR {NOW} - lr >= 21600) AS due FROM r) SELECT fact_id, (recall_count + due::INT)::INT AS recall_count, CASE WHEN due THEN {NOW} ELSE lr END::BIGINT AS last_recalled_at, least(10, len(reinforced_at) + due::INT)::INT AS n_times FROM u")
+def recall_reinforce(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("fact_id")
+    f = S.facts(spark, d).withColumn("last_recalled_at", F.when(i % 4 == 0, NOW - 100).when(i % 4 == 1, NOW - 30000).cast("long"))
+    hits = f.where("fact_id % 2 = 0 or fact_id % 5 = 1").select("fact_id", F.lit(False).alias("is_core"), F.lit(None).cast("boolean").alias("is_bundle"))
+    return ingest.reinforce_recalled(f, filters.countable_recall(hits), NOW).select("fact_id", "recall_count", "last_recalled_at", F.size("reinforced_at").alias("n_times"))
+
+
+@query("""WITH l AS (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS t, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), p AS (SELECT conv_id, turn, text AS u, CASE WHEN r = 'assistant' THEN t ELSE '' END AS a FROM l WHERE role = 'user'),
+b AS (SELECT *, ((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 10)::INT AS batch FROM p) SELECT conv_id AS channel_id, batch, string_agg('user: ' || u[1:20] || chr(10) || 'assistant: ' || a[1:20], chr(10) ORDER BY turn) AS summary FROM b GROUP BY 1, 2""")
+def batch_summaries(spark: SparkSession, d: str) -> DataFrame:
+    b = consolidate.turn_batches(consolidate.pair_turns(S.history(spark, d)))
+    return b.select("channel_id", "batch", T.batch_summary(F.col("turns"), 20).alias("summary"))
+
+
+@query(f"""WITH {EDGES_SQL}, {ENTITIES_SQL}, {ALIASES_SQL}, sf AS (SELECT canonical_name AS s, user_id, entity_id, 0 AS how FROM entities UNION ALL SELECT alias, user_id, entity_id, 1 FROM aliases JOIN entities USING (entity_id)),
+nm AS (SELECT s, user_id, arg_min(entity_id, struct_pack(how := how, e := entity_id)) AS id FROM sf GROUP BY 1, 2), r AS (SELECT 'u' || (p_partkey % 5) AS user_id, p_name AS src, CASE WHEN p_partkey % 2 = 0 THEN 'alias ' || p_brand ELSE 'ghost' END AS dst FROM part)
+SELECT DISTINCT r.user_id, a.id AS src_entity_id, b.id AS dst_entity_id FROM r JOIN nm a ON a.s = src AND a.user_id = r.user_id JOIN nm b ON b.s = dst AND b.user_id = r.user_id""")
+def relation_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    raw = p.select(F.concat(F.lit("u"), (F.col("p_partkey") % 5).cast("string")).alias("user_id"), F.col("p_name").alias("src"), F.lit("knows").alias("rel_type"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("alias "), F.col("p_brand"))).otherwise("ghost").alias("dst"))
+    return graph.resolve_relations(raw, S.entities(spark, d), S.aliases(spark, d)).select("user_id", "src_entity_id", "dst_entity_id").distinct()

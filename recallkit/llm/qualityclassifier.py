@@ -82,7 +82,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 200, rate: float = 0
     """Logistic regression by Adam on all rows at once."""
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(DIMS, np.float32), 30.0)
-    x = np.concatenate([features(Texts(pa.array(texts[a : a + 256]))) for a in range(0, len(texts), 256)])
+    x = np.empty((len(texts), DIMS), np.float32)
+    for a in range(0, len(texts), 64):
+        x[a : a + 64] = features(Texts(pa.array(texts[a : a + 64])))
     w, b = np.zeros(DIMS, np.float32), 0.0
     m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
     for t in range(1, epochs + 1):
@@ -95,7 +97,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 200, rate: float = 0
     return Model(w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, longest: int = 100_000, doc: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 100_000, doc: str = "doc_id", text: str = "text") -> Model:
     chosen = labels.where(F.col("quality").isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), "quality")
     chosen = chosen.orderBy(F.xxhash64("_doc"), "_doc", "quality").limit(rows)  # bounded, so its broadcast is
     found = docs.where(F.length(text) <= longest).join(F.broadcast(chosen), F.col(doc) == F.col("_doc")).select("_doc", "quality", F.col(text).alias("text"))

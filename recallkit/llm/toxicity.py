@@ -86,23 +86,28 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float = 0
     texts, labels = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], labels[keep]
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(2**BITS, np.float32), -40.0)
-    parts, base, doc_of = [], 0, []
-    for a in range(0, len(texts), 256):
-        index, owner, begins, first = features(Texts(pa.array(texts[a : a + 256]), lower=True))
-        parts.append(np.unique((owner + base) << BITS | index))
-        doc_of.append(np.searchsorted(first, np.arange(len(begins)), side="right") - 1 + a)
-        base += len(begins)
-    keys, doc_of = np.concatenate(parts), np.minimum(np.concatenate(doc_of), len(texts) - 1)
-    sentence, index = keys >> BITS, (keys & (2**BITS - 1)).astype(np.int64)
-    pairs = np.unique(doc_of[sentence] * 2**BITS + index)
-    toxic = labels[pairs >> BITS] > 0
-    among, docs = (np.bincount((pairs & (2**BITS - 1))[x], minlength=2**BITS) for x in (toxic, np.ones(len(pairs), bool)))
-    share = float((labels > 0).mean())
-    z = (among - share * docs) / np.sqrt(np.maximum(docs, 1) * share * (1 - share))
-    used = ((z >= least) & (among >= holders))[index]
-    names, col = np.unique(index[used], return_inverse=True)
-    present = np.unique(sentence)  # sentences with any word
-    row, doc, n = np.searchsorted(present, sentence[used]), doc_of[present], len(texts)
+    share, step = float((labels > 0).mean()), 128
+    among, docs = np.zeros(2**BITS, np.int64), np.zeros(2**BITS, np.int64)
+    for a in range(0, len(texts), step):  # one part at a time: what is kept is counts
+        index, owner, begins, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
+        doc = np.searchsorted(first, owner, side="right") - 1
+        pairs = np.unique(doc << BITS | index)
+        index = pairs & (2**BITS - 1)
+        docs += np.bincount(index, minlength=2**BITS)
+        among += np.bincount(index[labels[(pairs >> BITS) + a] > 0], minlength=2**BITS)
+    used = ((among - share * docs) / np.sqrt(np.maximum(docs, 1) * share * (1 - share)) >= least) & (among >= holders)
+    rows, cols, owners, base = [], [], [], 0
+    for a in range(0, len(texts), step):
+        index, owner, begins, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
+        present, row = np.unique(owner, return_inverse=True)  # sentences with any word
+        keys = np.unique((row << BITS | index)[used[index]])
+        rows.append((keys >> BITS) + base)
+        cols.append(keys & (2**BITS - 1))
+        owners.append(np.searchsorted(first, present, side="right") - 1 + a)
+        base += len(present)
+    row, doc, n = np.concatenate(rows), np.concatenate(owners), len(texts)
+    names, col = np.unique(np.concatenate(cols), return_inverse=True)
+    present = doc
     order = np.argsort(col, kind="stable")
     row_by_col, col_starts = row[order], np.searchsorted(col[order], np.arange(len(names)))
     w, b = np.ones(len(names)), -6.0

@@ -450,7 +450,7 @@ def fok_status(spark: SparkSession, d: str) -> DataFrame:
 EPISODES = f"""hits AS (SELECT query_id, fact_id, score, rank FROM ranked WHERE rank <= 6),
 tp AS (SELECT query_id, user_id, episode_id FROM hits JOIN facts USING (fact_id) WHERE rank = 1 AND episode_id IS NOT NULL),
 bf AS (SELECT query_id, f.fact_id, f.valid_to, f.ts FROM tp JOIN facts f ON f.user_id = tp.user_id AND f.episode_id = tp.episode_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.ts, f.fact_id) <= 15),
-bundle AS (SELECT query_id, fact_id, 0.85 AS score, row_number() OVER (PARTITION BY query_id ORDER BY ts, fact_id)::INT AS rank FROM bf WHERE (valid_to IS NULL OR valid_to = 0 OR valid_to > {NOW}) AND NOT EXISTS (SELECT 1 FROM hits WHERE hits.query_id = bf.query_id AND hits.fact_id = bf.fact_id) QUALIFY rank <= 5)"""
+bundle AS (SELECT query_id, fact_id, 0.85::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY ts, fact_id)::INT AS rank FROM bf WHERE (valid_to IS NULL OR valid_to = 0 OR valid_to > {NOW}) AND NOT EXISTS (SELECT 1 FROM hits WHERE hits.query_id = bf.query_id AND hits.fact_id = bf.fact_id) QUALIFY rank <= 5)"""
 
 
 def _one_user(spark: SparkSession, d: str) -> DataFrame:

@@ -38,7 +38,7 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 FINALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xDF), 0xF7]))
 #: Distinct chunks whose ids a worker remembers (about 40 bytes each): the first ones, among them the common ones.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 class WordTokenizer:
@@ -186,7 +186,7 @@ def pieces(df: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, text:
         t, end, step = tokenizer(path), np.array([end_id], "<u4").tobytes(), 4 * tokens
         for column in parts:
             out = []
-            for part in slices(pa.record_batch([column], ["text"]), "text"):
+            for part in slices(pa.record_batch([column], ["text"]), "text", 512 << 10):
                 flat, begin = t.encode(Texts(part.column(0)))
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                     ids = flat[a:b].tobytes() + end

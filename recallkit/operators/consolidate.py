@@ -70,18 +70,21 @@ def gists(facts: DataFrame, edges: DataFrame, entities: DataFrame, now: int, s:
     """
     cold = facts.where(is_active(F.col("valid_to")) & (F.coalesce("tier", F.lit(1)) == 3) & ~gist_exempt(F.col("importance"), F.col("attribute"), F.col("gist_of"), s))
     rows = cold.join(main_entity(edges, entities, cold), "fact_id")
-    member = F.struct("fact_id", "memory", "category", "importance")
-    groups = rows.groupBy("user_id", "entity_id").agg(F.array_sort(F.collect_list(member)).alias("m")).where(F.size("m") >= s.gist_min_cluster)
-    order = Window.partitionBy("user_id").orderBy(F.size("m").desc(), "entity_id")
-    groups = groups.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.gist_max_clusters)
-    ids = F.transform("m", lambda x: x["fact_id"].cast("string"))
-    longest = F.reduce("m", F.lit(""), lambda a, x: F.when(F.length(x["memory"]) > F.length(a), x["memory"]).otherwise(a))
+    groups = rows.groupBy("user_id", "entity_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array_sort(F.collect_list(F.col("fact_id").cast("string"))).alias("ids"),
+        F.min_by("memory", F.struct((-F.length("memory")).alias("l"), "fact_id")).alias("memory"),
+        F.min_by("category", "fact_id").alias("category"),
+        F.greatest(F.lit(1), F.min("importance")).alias("importance"),
+    )
+    order = Window.partitionBy("user_id").orderBy(F.desc("n"), "entity_id")
+    groups = groups.where(F.col("n") >= s.gist_min_cluster).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= s.gist_max_clusters)
     new = groups.select(
-        F.concat(F.lit("gist:"), F.md5(F.array_join(ids, ","))).alias("gist_id"), "user_id", "entity_id", longest.alias("memory"), F.get("m", F.lit(0))["category"].alias("category"),
-        F.greatest(F.lit(1), F.array_min(F.transform("m", lambda x: x["importance"]))).alias("importance"), F.lit(3).alias("tier"), ids.alias("gist_of"), F.lit(now).cast("long").alias("ts"),
+        F.concat(F.lit("gist:"), F.md5(F.array_join("ids", ","))).alias("gist_id"), "user_id", "entity_id", "memory", "category", "importance",
+        F.lit(3).alias("tier"), F.col("ids").alias("gist_of"), F.lit(now).cast("long").alias("ts"),
     )
-    members = new.select(F.explode("gist_of").alias("fact_id"), F.lit(now).cast("long").alias("valid_to"), F.col("gist_id").alias("gist_superseded_by"))
-    return new, members
+    members = rows.select("user_id", "entity_id", F.col("fact_id").cast("string").alias("fact_id")).join(new.select("user_id", "entity_id", "gist_id"), ["user_id", "entity_id"])
+    return new, members.select("fact_id", F.lit(now).cast("long").alias("valid_to"), F.col("gist_id").alias("gist_superseded_by"))
 
 
 def schemas(facts: DataFrame, edges: DataFrame, entities: DataFrame, s: Settings = DEFAULT) -> DataFrame:

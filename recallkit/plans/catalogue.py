@@ -324,7 +324,7 @@ def last10_history(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id, count(*) AS n_accepted, max(t) AS last_t FROM acc GROUP BY 1""")
 def recall_spacing(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
-    acc = ev.groupBy("user_id").agg(M.accept_spaced(F.collect_list("t"), 21600).alias("a"))
+    acc = ev.distinct().groupBy("user_id").agg(M.accept_spaced(F.collect_list("t"), 21600).alias("a"))
     return acc.select("user_id", F.size("a").cast("long").alias("n_accepted"), F.array_max("a").alias("last_t"))
 
 

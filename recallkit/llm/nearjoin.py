@@ -211,9 +211,11 @@ def near_classes(df: DataFrame, forest: Forest = Forest(), doc: str = "doc_id",
     # Members of each group, its least class among them, with the group's size.
     roots = groups.select(F.col("root").alias("rep"), "root").distinct()
     members = groups.select(F.col("node").alias("rep"), "root").unionByName(roots)
-    sizes = members.groupBy(F.col("root").alias("_root")).agg(F.count(F.lit(1)).alias("size"))
-    copies = classes.select(F.col("rep").alias("_rep"), F.col("copies"))
-    members = materialize(members.join(sizes, F.col("root") == F.col("_root")).join(copies, F.col("rep") == F.col("_rep")).select("rep", "root", "size", "copies"))
+    copies = classes.select(F.col("rep").alias("_rep"), "copies", "n")
+    members = materialize(members.join(copies, F.col("rep") == F.col("_rep")).select("rep", "root", "copies", "n"))
+    # A block holds at most `block` classes, and as few long ones as make about `block` * 8192 shingles.
+    sizes = members.groupBy(F.col("root").alias("_root")).agg(F.greatest(F.count(F.lit(1)), F.sum("n") / 8192).alias("size"))
+    members = materialize(members.join(sizes, F.col("root") == F.col("_root")).select("rep", "root", "size", "copies"))
     few = broadcast_if_small(members)
     width, threshold, keys = forest.width, forest.threshold, ["root", "p", "q"]
 
@@ -224,7 +226,7 @@ def near_classes(df: DataFrame, forest: Forest = Forest(), doc: str = "doc_id",
                 yield pa.record_batch([*(part.column(c) for c in ("rep", "root", "size", "copies")), pa.array(sets, pa.binary())], ["rep", "root", "size", "copies", "set"])
 
     texts = docs.join(few, F.col("doc_id") == F.col("rep")).select("rep", "root", "size", "copies", "text")
-    sets = texts.mapInArrow(shingled, "rep long, root long, size long, copies long, set binary").dropDuplicates(["rep"])
+    sets = texts.mapInArrow(shingled, "rep long, root long, size double, copies long, set binary").dropDuplicates(["rep"])
     dealt = _dealt(sets, "root", "size", forest.block).drop("size").repartition(*keys).sortWithinPartitions(*keys, "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

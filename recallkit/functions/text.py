@@ -235,3 +235,9 @@ def _closing(text: str, at: int) -> int | None:
             if not depth:
                 return i + 1
     return None
+
+
+def alias_resolution_text(names: Column) -> Column:
+    """An alias map as lines "alias = person", in order of the aliases."""
+    entries = F.array_sort(F.map_entries(names))
+    return F.array_join(F.transform(entries, lambda e: F.concat(F.lit("- "), e["key"], F.lit(" = "), e["value"])), "\n")

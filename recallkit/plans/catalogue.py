@@ -668,3 +668,25 @@ def relation_endpoints(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part")
     raw = p.select(F.concat(F.lit("u"), (F.col("p_partkey") % 5).cast("string")).alias("user_id"), F.col("p_name").alias("src"), F.lit("knows").alias("rel_type"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("alias "), F.col("p_brand"))).otherwise("ghost").alias("dst"))
     return graph.resolve_relations(raw, S.entities(spark, d), S.aliases(spark, d)).select("user_id", "src_entity_id", "dst_entity_id").distinct()
+
+
+@query("""SELECT doc_id, 1 + (doc_id % 2 = 0)::INT AS n_facts, CASE doc_id % 3 WHEN 0 THEN 'weight' WHEN 1 THEN 'habit.tea' ELSE 'custom:odd one' END AS attribute, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS n_relations FROM documents""")
+def extract_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a model: whole ones with a fence, and such that break off in the second fact."""
+    from recallkit.functions import extraction
+
+    i = F.col("doc_id")
+    first = F.concat(F.lit('{"speaker":"self","text":"a } \\" b","importance":3,"attribute":"'), _pick((" Weight", "habit.Tea", "Odd one"), i), F.lit('"}'))
+    whole = F.concat(F.lit('```json\n{"facts":['), first, F.lit(',{"speaker":"other","text":"x"},{"speaker":"self","text":"y"}],"relations":[{"src":"a","rel_type":"knows","dst":"b"},{"src":"a","rel_type":"eats","dst":"b"}]}\n```'))
+    cut = F.concat(F.lit('{"facts":['), first, F.lit(',{"speaker":"self","text":"unfin'))
+    replies = table(spark, d, "documents").select("doc_id", F.when(i % 2 == 0, whole).otherwise(cut).alias("reply"))
+    out = extraction.signals(replies)
+    return out.select("doc_id", F.size("facts").alias("n_facts"), F.col("facts")[0]["attribute"].alias("attribute"), F.size("relations").alias("n_relations"))
+
+
+@query(f"""SELECT item_id, array_to_string(list_slice(list_filter(list_reverse(list_distinct(list_reverse(list_filter({FOLD.format('text')}, lambda t: length(t) >= 2)))), lambda t: t NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'was', 'were', 'with')), 1, 200).list_sort(), ' ') AS terms FROM benchmark""")
+def content_terms(spark: SparkSession, d: str) -> DataFrame:
+    from recallkit.functions import extraction
+
+    terms = extraction.content_terms(search.tokens(F.col("text")), 200)
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(terms), " ").alias("terms"))

@@ -248,3 +248,12 @@ def test_state_file(tmp_path):
 
 def test_settings():
     assert Settings.of({"rrf_k": "7", "hide_archived": "off", "noise": "bad"}) == Settings(rrf_k=7, hide_archived=False)
+
+
+def test_line_vectors_and_alias_text(spark):
+    from recallkit.functions import extraction
+
+    rows = spark.createDataFrame([("c", 1, 1, "user", "a", "hello"), ("c", 1, 2, "user", "b", "hello"), ("c", 2, 3, "user", "a", "")], "channel_id string, ts int, seq int, role string, author string, text string")
+    got = extraction.line_vectors(rows, lambda t: F.array(F.length(t).cast("float"))).collect()
+    assert [(r.author, r.embedding) for r in got] == [("b", [5.0])]
+    assert one(spark, T.alias_resolution_text(F.create_map(F.lit("dad"), F.lit("bob"), F.lit("boss"), F.lit("ann"))).alias("t"))["t"] == "- boss = ann\n- dad = bob"

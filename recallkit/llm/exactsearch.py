@@ -17,6 +17,7 @@ query's own vec_id; fewer candidates than k give all; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from recallkit.session import materialize
 
 EXACT = float(2**20)
+#: Blocks of queries in one plan.
+AT_ONCE = 16
 
 
 def pivot_table(df: DataFrame, vec_id: str = "vec_id", vector: str = "vector", pivots: int = 48, sample: int = 2000) -> DataFrame:
@@ -124,10 +127,10 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
         parts.append(table.mapInPandas(scan, "query_id long, vec_id long, score long"))
+        if len(parts) > AT_ONCE:  # plans stay small: what is done so far becomes one part
+            parts = [materialize(reduce(DataFrame.unionByName, parts))]
     if not parts:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    found = reduce(DataFrame.unionByName, parts)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -10,7 +10,7 @@ dimension) against all candidates; each task keeps k rows per query and one aggr
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinite component take no part; vectors of
 different lengths have no score; ties go to the smaller vec_id; repeated rows each count as candidates, but never a
-query's own vec_id; fewer candidates than k give all; an empty table gives no rows. Components above 2**20 would leave exact
+query's own vec_id, and ask once; fewer candidates than k give all; an empty table gives no rows. Components above 2**20 would leave exact
 64-bit floats and are computed with whole numbers of any size.
 """
 
@@ -105,6 +105,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -
     table should be materialized: each block of queries reads it once.
     """
     parts = []
+    queries = queries.dropDuplicates(["vec_id"])
     marked = materialize(queries.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // (block // 2)))))))
     names = [r["_part"] for r in marked.groupBy("_part").agg(F.count(F.lit(1))).orderBy("_part").collect()]  # one per block
     for name in names:

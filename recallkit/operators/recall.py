@@ -9,6 +9,7 @@ from recallkit.config import DEFAULT, Settings
 from recallkit.functions import memory_math as M
 from recallkit.operators import graph, search
 from recallkit.operators.filters import in_scope, is_core, is_valid, within_distance
+from recallkit.session import materialize
 
 
 def core_facts(facts: DataFrame, now: int, most: int = 3, kept: int = 10) -> DataFrame:
@@ -88,12 +89,12 @@ def smart(queries: DataFrame, facts: DataFrame, edges: DataFrame, now: int, limi
     """
     fused = hybrid(queries, facts, now, 20, s.relevance_max_distance, s)
     order = Window.partitionBy("query_id").orderBy("score", F.desc(F.round("rrf_score", 12)), "fact_id")
-    hits = fused.withColumn("rank", F.row_number().over(order)).select("query_id", "fact_id", "score", "rank")
+    hits = materialize(fused.withColumn("rank", F.row_number().over(order)).select("query_id", "fact_id", "score", "rank"))  # 20 rows a query
     wanted = hits.where("rank <= 3").join(edges, "fact_id").select("entity_id")
     siblings = graph.expand_siblings(hits, edges, graph.co_occurrence(edges, 5, wanted), facts, now, s=s)
     last = Window.partitionBy("query_id").orderBy("_late", "rank", F.desc("activation"), "fact_id")
     pool = hits.select("*", F.lit(None).cast("double").alias("activation"), F.lit(0).alias("_late")).unionByName(siblings.select("query_id", "fact_id", "score", F.lit(0).alias("rank"), "activation", F.lit(1).alias("_late")))
-    pool = pool.withColumn("rank", F.row_number().over(last)).select("query_id", "fact_id", "score", "rank")
+    pool = materialize(pool.withColumn("rank", F.row_number().over(last)).select("query_id", "fact_id", "score", "rank"))
     status = confidence(pool, s=s).select("query_id", "status")
     known = facts.select("fact_id", "mention_count", "recall_count", "reinforced_at", "last_reinforced_at", "ts")
     lift = M.boost(F.col("mention_count"), F.col("recall_count"), F.col("reinforced_at"), F.col("last_reinforced_at"), F.col("ts"), F.lit(now), s)

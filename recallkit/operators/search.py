@@ -69,19 +69,21 @@ def postings(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int, doc: str = "fact_id", text: str = "text", query_id: str = "query_id", scope: str | None = None) -> DataFrame:
     """BM25 (k1 1.2, b 0.75, statistics of the whole index): the k best documents of each query as query_id, doc, score (higher is better), rank.
 
-    queries: query_id, terms (array; repeated terms count again), and scope if documents are limited to the query's. Only postings of asked terms
-    are formed after the statistics.
+    queries: query_id, terms (array; repeated terms count again), and scope if documents are limited to the query's. Words that no query asks
+    for are dropped before any shuffle.
     """
     asked = queries.select(query_id, F.explode("terms").alias("term"), *([F.col(scope).alias("_scope")] if scope else []))
     asked = asked.groupBy(query_id, "term", *(["_scope"] if scope else [])).agg(F.count(F.lit(1)).alias("times"))
-    index, lengths = postings(docs, doc, text)
+    split = docs.select(doc, tokens(F.col(text)).alias("_t"))
+    lengths = split.select(doc, F.size("_t").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
-    wanted = asked.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi")
+    wanted = broadcast_if_small(asked.select("term").distinct(), 100_000)
+    found = split.select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
+    hits = found.groupBy("term", doc, "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     odds = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = asked.join(df, "term").join(F.broadcast(stats)).select(*asked.columns, "avgdl", F.when(odds > 0, odds).otherwise(1e-6).alias("idf"))
-    rows = hits.join(weights, "term").join(lengths, doc)
+    rows = hits.join(weights, "term")
     if scope:
         rows = rows.join(docs.select(doc, F.col(scope).alias("_own")), doc).where(F.col("_own") == F.col("_scope"))
     part = F.col("times") * F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))

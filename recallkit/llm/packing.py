@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textvec import Texts, slices
+from .textvec import Texts, slices, trim
 
 #: Fixed value: how the tokenizer file cuts lower-case words, letters limited to those of PLAIN.
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -192,6 +192,9 @@ def pieces(df: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, text:
                     ids = flat[a:b].tobytes() + end
                     out.append([ids[k : k + step] for k in range(0, len(ids), step)])
             yield pa.array(out, pa.list_(pa.binary()))
+        _TOKENIZERS.clear()  # a worker's next tasks may be of another kind
+        del t
+        trim()
 
     rows = df.select(*rest, cut(F.col(text)).alias("_cut")).select(*rest, F.posexplode("_cut").alias("piece", "ids"))
     return rows.select(*rest, "piece", (F.col("piece").cast("long") * tokens).alias("start"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("length"), "ids")

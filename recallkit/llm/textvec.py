@@ -6,6 +6,7 @@ modulo 2**64, finished by a mixing step, so any substring's hash comes from one
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,13 @@ class Texts:
         return mix((self._sums[ends] - self._sums[starts]) * down[starts])
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
 def slices(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about most_bytes of text each (a longer text stands alone), so that memory is bounded by the longest text."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), np.int64)
@@ -97,6 +105,7 @@ def slices(batch: pa.RecordBatch | pa.Table, column: str, most_bytes: int = 1 <<
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield batch.slice(a, b - a)
+    trim()
 
 
 def shingle_sets(texts: Texts, width: int = 5) -> list[np.ndarray]:

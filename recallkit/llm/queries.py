@@ -81,7 +81,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lmscore.score(docs, *lmscore.train(docs)).drop("text")
+    return lmscore.pseudo_likelihood(docs).drop("text")
 
 
 def op9_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,6 +420,47 @@ def test_lm_prefers_likely_order(spark):
     assert a.mean_log_probability > b.mean_log_probability + 0.5
 
 
+def test_lm_every_word_has_its_own_probability(spark):
+    """Words beyond the common ones and neighbours two words away move the score; sums by brute force."""
+    import math
+    from collections import Counter
+
+    import pyarrow as pa
+
+    fill = [(100 + k, " ".join(f"c{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(70))) for k in range(12)]
+    texts = [(k, "alpha bravo delta gamma omega") for k in range(6)] + [(6, "alpha bravo delta gamma qxzvw"), (7, "alpha bravo gamma delta omega"), (8, None)]
+    df = spark.createDataFrame(texts + fill, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lmscore.pseudo_likelihood(df).collect()}
+    assert len(got) == len(texts) + len(fill) and got[8].n_tokens == 0 and got[8].log_likelihood == 0 and got[8].perplexity is None
+    assert got[0].log_likelihood > got[6].log_likelihood + 0.5 and got[0].log_likelihood > got[7].log_likelihood + 0.02
+
+    docs = dict(texts + fill)
+    tokens, table = lmscore.train(df)
+    shared = {r.doc_id: r.log_likelihood for r in lmscore.score(df, tokens, table).collect()}
+    seen, words, pairs, beside, sizes = [], Counter(), Counter(), Counter(), Counter()
+    for i, t in docs.items():
+        column = pa.array([t])
+        own, lower = lmscore._both(column)
+        t, _ = tokens.of(own, lower)
+        g = [1 + int(x) % 63 for x in lower.hash(*lower.words()[:2])]
+        names = (docs[i] or "").split()
+        for k, c in enumerate(t.tolist()):
+            if c <= lmscore.SHAPES:
+                near = [g[k + x] if 0 <= k + x < len(g) else 0 for x in lmscore.SIDES]
+                seen.append((i, names[k], c, near))
+                sizes[c] += not words[names[k]]
+                words[names[k]] += 1
+                for side, x in enumerate(near):
+                    pairs[names[k], side, x] += 1
+                    beside[c, side, x] += 1
+    totals = Counter(c for _, _, c, _ in seen)
+    for i, w, c, near in seen:
+        share = (words[w] - 1 + 0.5) / (totals[c] - 1 + 0.5 * (sizes[c] + 1))
+        shared[i] += math.log(sum(weight * (pairs[w, s, x] - 1 + 20 * share) / (beside[c, s, x] - 1 + 20) for (s, x), weight in zip(enumerate(near), lmscore.SIDES.values(), strict=True)))
+    for i in docs:
+        assert got[i].log_likelihood == pytest.approx(shared[i], rel=1e-4, abs=1e-3)
+
+
 def test_texts_slices_and_offsets():
     import pyarrow as pa
 

@@ -26,14 +26,8 @@ def l2_squared(a: Column, b: Column) -> Column:
 METRICS = {"cosine": cosine_distance, "l2sq": l2_squared}
 
 
-def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, query_id: str = "query_id", fact_id: str = "fact_id", max_distance: float | None = None, salt: int = 16) -> DataFrame:
-    """The k nearest facts of each query: query_id, fact_id, score, rank. A distance gate applies after the cut.
-
-    Queries (query_id, q, and the columns of `on`) are broadcast only after a count; more than that many are joined by hash.
-    Each salted share of the facts keeps k rows per query before the shuffle that merges them, so what moves is
-    k * salt rows per query, not the product of both sides.
-    """
-    keys = on or []
+def _scored(queries: DataFrame, facts: DataFrame, metric: str, keys: list[str], query_id: str, fact_id: str, salt: int) -> DataFrame:
+    """All pairs of the two sides with their distance and the fact's share."""
     asked = queries.select(query_id, "q", *[F.col(c).alias(f"_q_{c}") for c in keys])
     facts = facts.withColumn("_salt", F.pmod(F.xxhash64(fact_id), F.lit(salt)))
     if keys:
@@ -45,7 +39,25 @@ def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on
         asked = asked.withColumn("_q_one", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         cond = F.col("_one") == F.col("_q_one")
     pairs = facts.join(broadcast_if_small(asked, 20_000), cond)
-    scored = pairs.select(query_id, fact_id, "_salt", METRICS[metric](F.col("q"), F.col("embedding")).alias("score"))
+    return pairs.select(query_id, fact_id, "_salt", METRICS[metric](F.col("q"), F.col("embedding")).alias("score"))
+
+
+def within(queries: DataFrame, facts: DataFrame, max_distance: float, metric: str = "cosine", query_id: str = "query_id", fact_id: str = "fact_id", salt: int = 16) -> DataFrame:
+    """All facts within a distance of each query, however many: query_id, fact_id, score."""
+    scored = _scored(queries, facts, metric, [], query_id, fact_id, salt)
+    return scored.where(within_distance(F.col("score"), max_distance)).drop("_salt")
+
+
+def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, query_id: str = "query_id", fact_id: str = "fact_id", max_distance: float | None = None, salt: int = 16, distinct: bool = False) -> DataFrame:
+    """The k nearest facts of each query: query_id, fact_id, score, rank. A distance gate applies after the cut;
+    distinct leaves out the fact with the query's own id.
+
+    Queries (query_id, q, and the columns of `on`) are broadcast only after a count; more than that many are joined by hash.
+    Each salted share of the facts keeps k rows per query before the shuffle that merges them, so what moves is
+    k * salt rows per query, not the product of both sides.
+    """
+    scored = _scored(queries, facts, metric, on or [], query_id, fact_id, salt)
+    scored = scored.where(F.col(query_id) != F.col(fact_id)) if distinct else scored
     near = Window.partitionBy(query_id, "_salt").orderBy("score", fact_id)
     merged = Window.partitionBy(query_id).orderBy("score", fact_id)
     out = scored.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)

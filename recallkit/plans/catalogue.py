@@ -10,12 +10,15 @@ from recallkit.functions import memory_math as M
 from recallkit.functions import text as T
 from recallkit.functions import vocabulary as V
 from recallkit.operators import consolidate, filters, graph, ingest, recall, search
-from recallkit.plans.registry import query, table
+from recallkit.plans.registry import query, table, whole
 from recallkit.sources import views as S
 from recallkit.sources.views import ALIASES_SQL, EDGES_SQL, ENTITIES_SQL, FACTS_SQL, NOW, PRESENTATIONS_SQL
 
 R6 = lambda c: F.round(c, 6)
 
+#: Which rows are asked: those of the SQL, or, for the forms of the same queries that grow with their tables (`*_all`), these.
+FIRST, EVERY_100TH = "{} < 10", "{} % 100 = 0"
+
 COS = "greatest(0.0, 1 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
 KNN = f"""near AS (SELECT a.vec_id AS query_id, b.vec_id AS fact_id, {COS} AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, fact_id)::INT AS rank FROM near)"""
@@ -33,14 +36,14 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 
 @query(f"WITH {KNN} SELECT query_id, fact_id, round(score, 6) AS score, rank FROM ranked WHERE rank <= 8 AND score <= 0.66")
-def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 8, max_distance=0.66).withColumn("score", R6("score"))
+def knn_topk(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    return search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 8, max_distance=0.66).withColumn("score", R6("score"))
 
 
 @query("""WITH near AS (SELECT a.vec_id AS query_id, b.vec_id AS fact_id, list_sum(list_transform(range(1, 65), lambda i: pow(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2))) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10)
 SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, fact_id)::INT AS rank FROM near QUALIFY rank <= 5""")
-def knn_l2sq(spark: SparkSession, d: str) -> DataFrame:
-    return search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 5, "l2sq").withColumn("score", R6("score"))
+def knn_l2sq(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    return search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 5, "l2sq").withColumn("score", R6("score"))
 
 
 @query(f"WITH {FACTS_SQL} SELECT fact_id, user_id FROM facts WHERE valid_to IS NULL OR valid_to = 0 OR valid_to > {NOW}")
@@ -98,10 +101,10 @@ def keyword_stats(spark: SparkSession, d: str) -> DataFrame:
     return index.agg(F.sum("tf").alias("n_tokens"), F.count_distinct("term").alias("n_terms"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-def _hybrid_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _hybrid_inputs(spark: SparkSession, d: str, asked: str) -> tuple[DataFrame, DataFrame]:
     """Queries: the first vectors with the first words of their documents; facts with embeddings."""
     f = S.facts(spark, d).join(S.vectors(spark, d), "fact_id", "left")
-    q = f.where("fact_id < 10 and embedding is not null").select(F.col("fact_id").alias("query_id"), "user_id", F.col("embedding").alias("q"), F.slice(search.tokens(F.col("memory")), 1, 6).alias("terms"), F.lit("1").alias("channel_id"))
+    q = f.where(F.expr(asked.format("fact_id")) & F.col("embedding").isNotNull()).select(F.col("fact_id").alias("query_id"), "user_id", F.col("embedding").alias("q"), F.slice(search.tokens(F.col("memory")), 1, 6).alias("terms"), F.lit("1").alias("channel_id"))
     return q, f
 
 
@@ -120,8 +123,8 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf,
 
 
 @query(f"WITH {FACTS_SQL}, {HYBRID} SELECT query_id, fact_id, round(rrf, 9) AS rrf_score, round(score, 6) AS score, rank FROM fused")
-def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    q, f = _hybrid_inputs(spark, d)
+def rrf_hybrid(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    q, f = _hybrid_inputs(spark, d, asked)
     return recall.hybrid(q, f, NOW).select("query_id", "fact_id", F.round("rrf_score", 9).alias("rrf_score"), R6("score").alias("score"), "rank")
 
 
@@ -150,17 +153,17 @@ cq AS (SELECT query_id, fact_id, NULL::DOUBLE AS score, 0 AS section, rank FROM
 ow AS (SELECT bk.query_id, bk.fact_id, score, 1 AS section, rank, row_number() OVER (PARTITION BY bk.query_id ORDER BY rank, fact_id) AS n FROM bk WHERE score <= 1.2 AND NOT EXISTS (SELECT 1 FROM cq WHERE cq.query_id = bk.query_id AND cq.fact_id = bk.fact_id)),
 al AS (FROM cq UNION ALL SELECT query_id, fact_id, score, section, rank FROM ow WHERE n <= 5 - coalesce((SELECT count(*) FROM cq WHERE cq.query_id = ow.query_id), 0))
 SELECT query_id, fact_id, round(score, 6) AS score, section, row_number() OVER (PARTITION BY query_id ORDER BY section, rank, fact_id)::INT AS pos, coalesce(status, 'no_memory') AS status FROM al LEFT JOIN stt USING (query_id)""")
-def smart_search(spark: SparkSession, d: str) -> DataFrame:
-    q, f = _hybrid_inputs(spark, d)
+def smart_search(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    q, f = _hybrid_inputs(spark, d, asked)
     return recall.smart(q, f, S.edges(spark, d), NOW).select("query_id", "fact_id", R6("score").alias("score"), "section", "pos", "status")
 
 
 @query(f"""WITH {KNN}, l AS (SELECT query_id // 5 AS question, query_id AS list_ord, fact_id, score, rank AS pos FROM ranked WHERE rank <= 6),
 once AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY question, fact_id ORDER BY list_ord, pos) = 1)
 SELECT question, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question ORDER BY coalesce(score, 99), list_ord, pos)::INT AS rank FROM once QUALIFY rank <= 10""")
-def multi_merge(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 6)
-    lists = hits.select(F.expr("query_id div 5").alias("question"), F.col("query_id").alias("list_ord"), "fact_id", "score", F.col("rank").alias("pos"))
+def multi_merge(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    hits = search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 6)
+    lists = hits.select(F.expr(f"query_id div {5 if asked == FIRST else 500}").alias("question"), F.col("query_id").alias("list_ord"), "fact_id", "score", F.col("rank").alias("pos"))
     return search.merge_lists(lists, 10, "question").select("question", "fact_id", R6("score").alias("score"), "rank")
 
 
@@ -364,11 +367,12 @@ def fact_meta(spark: SparkSession, d: str) -> DataFrame:
     return filters.fact_metadata(raw, NOW).drop("channel_id")
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates: vectors 0-99; existing facts: all vectors from 100 on."""
+def _near(spark: SparkSession, d: str, every: bool) -> DataFrame:
+    """Candidates: vectors 0-99, existing facts: all vectors from 100 on; or every vector against all others."""
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    hits = search.knn(q, v.where("vec_id >= 100").select(F.col("vec_id").alias("fact_id"), "embedding"), 5)
+    q = v.where("true" if every else "vec_id < 100").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    facts = v.where("true" if every else "vec_id >= 100").select(F.col("vec_id").alias("fact_id"), "embedding")
+    hits = search.knn(q, facts, 5, distinct=every)
     return hits.select(F.col("query_id").alias("cand_id"), "rank", F.col("fact_id").alias("existing_id"), "score")
 
 
@@ -377,23 +381,23 @@ near AS (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY score, exist
 
 
 @query(f"WITH {NEAR} SELECT DISTINCT cand_id FROM near WHERE score <= 0.6")
-def near_dup_semi(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("cand_id"))
-    return ingest.dedup_single(c, _near(spark, d), 0.6)[1]
+def near_dup_semi(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    c = table(spark, d, "embeddings").where("true" if every else "vec_id < 100").select(F.col("vec_id").alias("cand_id"))
+    return ingest.dedup_single(c, _near(spark, d, every), 0.6)[1]
 
 
 @query(f"WITH {NEAR} SELECT vec_id AS cand_id FROM embeddings WHERE vec_id < 100 AND vec_id NOT IN (SELECT cand_id FROM near WHERE score <= 0.6)")
-def near_dup_anti(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("cand_id"))
-    return ingest.dedup_single(c, _near(spark, d), 0.6)[0]
+def near_dup_anti(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    c = table(spark, d, "embeddings").where("true" if every else "vec_id < 100").select(F.col("vec_id").alias("cand_id"))
+    return ingest.dedup_single(c, _near(spark, d, every), 0.6)[0]
 
 
 @query(f"""WITH {NEAR}, dd AS (SELECT *, CASE WHEN category <> existing_category THEN NULL WHEN score <= 0.60 THEN 'duplicate' WHEN score <= 0.70 THEN
   CASE existing_id % 4 WHEN 0 THEN 'duplicate' WHEN 1 THEN 'merge' WHEN 2 THEN CASE WHEN existing_id % 3 = 0 THEN 'replace' END END END AS dec FROM near)
 SELECT cand_id, coalesce(arg_min(dec, rank) FILTER (dec IS NOT NULL), 'novel') AS decision, arg_min(existing_id, rank) FILTER (dec IS NOT NULL) AS existing_id FROM dd GROUP BY 1""")
-def near_dup_decision(spark: SparkSession, d: str) -> DataFrame:
+def near_dup_decision(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").cast("string").alias("c"))
-    near = _near(spark, d).join(v.withColumnsRenamed({"vec_id": "cand_id", "c": "category"}), "cand_id").join(v.withColumnsRenamed({"vec_id": "existing_id", "c": "existing_category"}), "existing_id")
+    near = _near(spark, d, every).join(v.withColumnsRenamed({"vec_id": "cand_id", "c": "category"}), "cand_id").join(v.withColumnsRenamed({"vec_id": "existing_id", "c": "existing_category"}), "existing_id")
     near = near.withColumns({"text": F.col("cand_id").cast("string"), "existing_text": F.col("existing_id").cast("string")})
     old = lambda a: a.cast("long")
     judge = lambda a, b: F.when(old(a) % 4 == 0, "paraphrase").when(old(a) % 4 == 1, "mergeable").otherwise("different")
@@ -442,8 +446,8 @@ def core_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {KNN} SELECT query_id, round(min(score), 6) AS best_distance, count(*) AS n_hits, CASE WHEN min(score) >= 1.1 THEN 'no_memory' WHEN min(score) >= 0.62 THEN 'weak' ELSE 'confident' END AS status FROM ranked WHERE rank <= 8 AND fact_id <> query_id GROUP BY 1")
-def fok_status(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 8).where("fact_id <> query_id")
+def fok_status(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    hits = search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 8).where("fact_id <> query_id")
     return recall.confidence(hits, s=Settings(fok_weak=0.62)).withColumn("best_distance", R6("best_distance"))
 
 
@@ -459,8 +463,8 @@ def _one_user(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {FACTS_SQL.replace('source AS user_id', chr(39) + 'u' + chr(39) + ' AS user_id')}, {KNN}, {EPISODES} SELECT query_id, fact_id, score, rank FROM bundle")
-def episode_bundle(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 6)
+def episode_bundle(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    hits = search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 6)
     return recall.episode_bundle(hits, _one_user(spark, d), NOW)
 
 
@@ -469,9 +473,9 @@ cq AS (SELECT query_id, fact_id, NULL::DOUBLE AS score, 0 AS section, rank FROM
 ow AS (SELECT query_id, fact_id, score, 1 AS section, rank FROM hits WHERE fact_id NOT IN (SELECT fact_id FROM core) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5 - (SELECT count(*) FROM core)),
 al AS (FROM cq UNION ALL FROM ow UNION ALL SELECT query_id, fact_id, score, 2, rank FROM bundle WHERE fact_id NOT IN (SELECT fact_id FROM core))
 SELECT query_id, fact_id, round(score, 6) AS score, section, row_number() OVER (PARTITION BY query_id ORDER BY section, rank, fact_id)::INT AS pos FROM al""")
-def core_merge(spark: SparkSession, d: str) -> DataFrame:
+def core_merge(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
     f = _one_user(spark, d)
-    q = S.vector_queries(spark, d)
+    q = S.vector_queries(spark, d, asked.format("vec_id"))
     hits = search.knn(q, S.vectors(spark, d), 6)
     core = recall.core_facts(f, NOW).select("fact_id", "rank", F.lit("u").alias("_u")).join(q.select("query_id", F.lit("u").alias("_u")), "_u").select("query_id", "fact_id", F.lit(None).cast("double").alias("score"), "rank")
     return recall.core_first(core, hits, recall.episode_bundle(hits, f, NOW), 5).withColumn("score", R6("score"))
@@ -479,8 +483,8 @@ def core_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {KNN}, h AS (SELECT * FROM ranked WHERE rank <= 8), p AS (SELECT query_id, pick, min(po) AS po FROM (SELECT DISTINCT query_id, unnest([3, 1, 3, 99, 7]) AS pick, unnest([1, 2, 3, 4, 5]) AS po FROM h) GROUP BY 1, 2)
 SELECT h.query_id, fact_id, row_number() OVER (PARTITION BY h.query_id ORDER BY po NULLS LAST, rank)::INT AS final_rank FROM h LEFT JOIN p ON p.query_id = h.query_id AND p.pick = h.rank QUALIFY final_rank <= 5""")
-def rerank_fill(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.knn(S.vector_queries(spark, d), S.vectors(spark, d), 8)
+def rerank_fill(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
+    hits = search.knn(S.vector_queries(spark, d, asked.format("vec_id")), S.vectors(spark, d), 8)
     picks = hits.select("query_id").distinct().select("query_id", F.posexplode(F.array(*map(F.lit, (3, 1, 3, 99, 7)))).alias("pick_ord", "pick"))
     return recall.rerank(hits, picks, 5).select("query_id", "fact_id", "final_rank")
 
@@ -528,10 +532,10 @@ def schema_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE ed AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id < 200 AND b.vec_id < 200 AND {COS} <= 0.66),
 reach(id, r) AS (SELECT vec_id, vec_id FROM embeddings WHERE vec_id < 200 UNION SELECT reach.id, ed.b FROM reach JOIN ed ON ed.a = reach.r) SELECT id, min(r) AS label FROM reach GROUP BY 1""")
-def components(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings").where("vec_id < 200")
+def components(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    v = table(spark, d, "embeddings").where("true" if every else "vec_id < 200")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    near = search.knn(q, v.select(F.col("vec_id").alias("fact_id"), "embedding"), 200, max_distance=0.66)
+    near = search.within(q, v.select(F.col("vec_id").alias("fact_id"), "embedding"), 0.66)
     return consolidate.mergeable_groups(v.select(F.col("vec_id").alias("id")), near.where("query_id <> fact_id").select(F.col("query_id").alias("a"), F.col("fact_id").alias("b")))
 
 
@@ -634,9 +638,9 @@ def json_salvage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH n AS (SELECT a.vec_id AS query_id, b.vec_id AS fact_id, {COS} AS score FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id < 10) SELECT query_id, fact_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score, fact_id)::INT AS rank FROM n QUALIFY rank <= 5")
-def history_semantic(spark: SparkSession, d: str) -> DataFrame:
+def history_semantic(spark: SparkSession, d: str, asked: str = FIRST) -> DataFrame:
     v = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").alias("channel_id"))
-    q = v.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "channel_id")
+    q = v.where(asked.format("vec_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "channel_id")
     return search.knn(q, v.withColumnRenamed("vec_id", "fact_id"), 5, on=["channel_id"]).withColumn("score", R6("score"))
 
 
@@ -690,3 +694,9 @@ def content_terms(spark: SparkSession, d: str) -> DataFrame:
 
     terms = extraction.content_terms(search.tokens(F.col("text")), 200)
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+for f in (knn_topk, knn_l2sq, rrf_hybrid, smart_search, multi_merge, fok_status, episode_bundle, core_merge, rerank_fill, history_semantic):
+    whole(f, asked=EVERY_100TH)
+for f in (near_dup_semi, near_dup_anti, near_dup_decision, components):
+    whole(f, every=True)

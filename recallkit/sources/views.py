@@ -47,8 +47,8 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("fact_id"), "embedding")
 
 
-def vector_queries(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    return table(spark, d, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def vector_queries(spark: SparkSession, d: str, asked: str = "vec_id < 10") -> DataFrame:
+    return table(spark, d, "embeddings").where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def history(spark: SparkSession, d: str) -> DataFrame:

@@ -178,16 +178,16 @@ def cooccur_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {EDGES_SQL} SELECT entity_id, fact_id, created_at, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, fact_id)::INT AS rank FROM edges WHERE entity_id < 100 AND fact_id % 5 <> 0 QUALIFY rank <= 20")
-def related_facts(spark: SparkSession, d: str) -> DataFrame:
+def related_facts(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     e = S.edges(spark, d)
-    wanted = table(spark, d, "part").where("p_partkey < 100").select(F.col("p_partkey").alias("entity_id"))
+    wanted = table(spark, d, "part").where("true" if every else "p_partkey < 100").select(F.col("p_partkey").alias("entity_id"))
     out = table(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("fact_id"))
     return graph.related_facts(e, wanted, 20, out).select("entity_id", "fact_id", "created_at", "rank")
 
 
 @query(f"WITH {EDGES_SQL}, {ENTITIES_SQL} SELECT fact_id, entity_id, canonical_name, type FROM edges JOIN entities USING (entity_id) WHERE fact_id < 500")
-def fact_entities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.fact_entities(S.edges(spark, d).where("fact_id < 500"), S.entities(spark, d)).select("fact_id", "entity_id", "canonical_name", "type")
+def fact_entities(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return graph.fact_entities(S.edges(spark, d).where("true" if every else "fact_id < 500"), S.entities(spark, d)).select("fact_id", "entity_id", "canonical_name", "type")
 
 
 SEEDS = "sd AS (SELECT fact_id % 7 AS query_id, entity_id, max(greatest(1 - least((fact_id % 10) / 10.0, 1), 0.1)) AS act FROM edges WHERE fact_id < 40 GROUP BY 1, 2)"
@@ -195,16 +195,17 @@ SPREAD = f"""{SEEDS}, h1 AS (SELECT query_id, other_id AS entity_id, max(act * w
 ac AS (SELECT query_id, entity_id, max(act) AS act FROM (FROM sd UNION ALL FROM h1) GROUP BY 1, 2)"""
 
 
-def _spread(spark: SparkSession, d: str, primed: DataFrame | None) -> DataFrame:
+def _spread(spark: SparkSession, d: str, primed: DataFrame | None, every: bool) -> DataFrame:
     e = S.edges(spark, d)
     score = (F.col("fact_id") % 10) / 10.0
-    seeds = e.where("fact_id < 40").select((F.col("fact_id") % 7).alias("query_id"), "entity_id", M.seed_activation(score).alias("activation"))
+    asked = e.where("true" if every else "fact_id < 40")
+    seeds = asked.select((F.col("fact_id") if every else F.col("fact_id") % 7).alias("query_id"), "entity_id", M.seed_activation(score).alias("activation"))
     return graph.spread(seeds, graph.co_occurrence(e, 5, seeds.select("entity_id")), primed)
 
 
 @query(f"WITH {EDGES_SQL}, {COOC.format(15, 5)}, {SPREAD} SELECT query_id, entity_id, round(act, 6) AS activation, round(greatest(0.3, 0.9 - 0.4 * act), 6) AS distance FROM ac")
-def spread_activation(spark: SparkSession, d: str) -> DataFrame:
-    return _spread(spark, d, None).select("query_id", "entity_id", R6("activation").alias("activation"), R6(M.sibling_distance(F.col("activation"))).alias("distance"))
+def spread_activation(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return _spread(spark, d, None, every).select("query_id", "entity_id", R6("activation").alias("activation"), R6(M.sibling_distance(F.col("activation"))).alias("distance"))
 
 
 PRIMED = f"""tch AS (SELECT user_id % 7 AS query_id, user_id, event_type AS channel_id, event_id % 50 AS entity_id, max(epoch(date_trunc('second', ts))::BIGINT) AS touched FROM events GROUP BY ALL),
@@ -223,15 +224,15 @@ def primed_entities(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {EDGES_SQL}, {COOC.format(15, 5)}, {SPREAD}, {PRIMED}, px AS (SELECT DISTINCT query_id, entity_id FROM prm WHERE 1706572800 - touched < 1800)
 SELECT query_id, entity_id, round(sum(act), 6) AS activation FROM (FROM ac UNION ALL SELECT query_id, entity_id, 0.1 FROM px) GROUP BY 1, 2""")
-def primed_activation(spark: SparkSession, d: str) -> DataFrame:
-    p = graph.primed(_touches(spark, d), 1706572800).select((F.col("user_id") % 7).alias("query_id"), "entity_id")
-    return _spread(spark, d, p).select("query_id", "entity_id", R6("activation").alias("activation"))
+def primed_activation(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    p = graph.primed(_touches(spark, d), 1706572800).select((F.col("user_id") if every else F.col("user_id") % 7).alias("query_id"), "entity_id")
+    return _spread(spark, d, p, every).select("query_id", "entity_id", R6("activation").alias("activation"))
 
 
-def _names(spark: SparkSession, d: str) -> DataFrame:
+def _names(spark: SparkSession, d: str, every: bool) -> DataFrame:
     """Names to look up: canonical ones, aliases, and beginnings."""
-    p = table(spark, d, "part").where("p_partkey % 10 < 4")
-    name = F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).when(F.col("p_partkey") % 10 == 1, F.concat(F.lit(" alias  "), F.col("p_brand"))).when(F.col("p_partkey") % 10 == 2, F.upper(F.substring("p_name", 1, 3))).otherwise("no such name")
+    p = table(spark, d, "part").where("true" if every else "p_partkey % 10 < 4")
+    name = F.when(F.col("p_partkey") % 10 == 0, F.col("p_name")).when(F.col("p_partkey") % 10 == 1, F.concat(F.lit(" alias  "), F.col("p_brand"))).when(F.col("p_partkey") % 10 == 2, F.upper(F.substring("p_name", 1, 3))).when(F.col("p_partkey") % 10 == 3, "no such name").otherwise(F.col("p_name"))
     return p.select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("u"), (F.expr("p_partkey div 10") % 5).cast("string")).alias("user_id"), name.alias("name"))
 
 
@@ -243,14 +244,14 @@ found AS (SELECT query_id, entity_id, level FROM fd QUALIFY row_number() OVER (P
 
 
 @query(f"WITH {EDGES_SQL}, {ENTITIES_SQL}, {ALIASES_SQL}, {NAMES_SQL}, {FIND_SQL} SELECT query_id, entity_id, level FROM found")
-def entity_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return graph.find_entities(_names(spark, d), S.entities(spark, d), S.aliases(spark, d))
+def entity_lookup(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return graph.find_entities(_names(spark, d, every), S.entities(spark, d), S.aliases(spark, d))
 
 
 @query(f"""WITH {EDGES_SQL}, {ENTITIES_SQL}, {ALIASES_SQL}, {NAMES_SQL}, {FIND_SQL}, ns AS (SELECT entity_id, canonical_name AS variant FROM entities UNION ALL SELECT entity_id, alias FROM aliases)
 SELECT DISTINCT query_id, variant FROM nm JOIN found USING (query_id) JOIN ns USING (entity_id) WHERE lower(variant) <> lower(name)""")
-def alias_expand(spark: SparkSession, d: str) -> DataFrame:
-    q = _names(spark, d).withColumn("name", T.normalize_name(F.col("name")))
+def alias_expand(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    q = _names(spark, d, every).withColumn("name", T.normalize_name(F.col("name")))
     found = graph.find_entities(q, S.entities(spark, d), S.aliases(spark, d))
     return graph.alias_variants(q.withColumnRenamed("name", "text"), found, S.entities(spark, d), S.aliases(spark, d))
 
@@ -698,5 +699,5 @@ def content_terms(spark: SparkSession, d: str) -> DataFrame:
 
 for f in (knn_topk, knn_l2sq, rrf_hybrid, smart_search, multi_merge, fok_status, episode_bundle, core_merge, rerank_fill, history_semantic):
     whole(f, asked=EVERY_100TH)
-for f in (near_dup_semi, near_dup_anti, near_dup_decision, components):
+for f in (near_dup_semi, near_dup_anti, near_dup_decision, components, related_facts, fact_entities, spread_activation, primed_activation, entity_lookup, alias_expand):
     whole(f, every=True)

@@ -43,3 +43,29 @@ def test_components_of_all_vectors(spark, distances):
             break
         label = np.minimum(label, least)
     assert {r.id: r.label for r in QUERIES["components_all"](spark, DIR).collect()} == dict(enumerate(label.tolist()))
+
+
+def test_graph_queries_cover_all_edges_and_names(spark):
+    lines, parts = pq.read_table(f"{DIR}/lineitem.parquet").to_pylist(), pq.read_table(f"{DIR}/part.parquet").to_pylist()
+    edges, names = {(r["l_orderkey"], r["l_partkey"]) for r in lines}, {p["p_partkey"]: p["p_name"] for p in parts}
+    assert {(r.fact_id, r.entity_id, r.canonical_name) for r in QUERIES["fact_entities_all"](spark, DIR).collect()} == {(f, e, names[e]) for f, e in edges if e in names}
+    newest, day = {}, {}
+    for r in lines:
+        day[r["l_orderkey"], r["l_partkey"]] = max(r["l_shipdate"], day.get((r["l_orderkey"], r["l_partkey"]), r["l_shipdate"]))
+    for (f, e), t in sorted(day.items(), key=lambda x: x[0]):
+        if f % 5 and e in names:
+            newest.setdefault(e, []).append((t, f))
+    want = {(e, f) for e, fs in newest.items() for _, f in sorted(sorted(fs, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)[:20]}
+    assert {(r.entity_id, r.fact_id) for r in QUERIES["related_facts_all"](spark, DIR).collect()} == want
+    found = {r.query_id: r for r in QUERIES["entity_lookup_all"](spark, DIR).collect()}
+    same = {i: (n, (i // 10) % 5) for i, n in names.items() if i % 10 >= 4}
+    exact = {(n, i % 5): min(j for j, m in names.items() if m == n and j % 5 == i % 5) for i, n in names.items()}
+    assert {i: found[i].entity_id for i in same if i in found and found[i].level == 0} == {i: exact[x] for i, x in same.items() if x in exact}
+    assert {r.query_id for r in QUERIES["alias_expand_all"](spark, DIR).collect()} <= set(found)
+
+
+def test_activation_spreads_from_all_facts(spark):
+    facts = {r for r in pq.read_table(f"{DIR}/lineitem.parquet")["l_orderkey"].to_pylist()}
+    got = QUERIES["spread_activation_all"](spark, DIR).collect()
+    assert {r.query_id for r in got} == facts
+    assert facts <= {r.query_id for r in QUERIES["primed_activation_all"](spark, DIR).select("query_id").distinct().collect()}

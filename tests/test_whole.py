@@ -69,3 +69,20 @@ def test_activation_spreads_from_all_facts(spark):
     got = QUERIES["spread_activation_all"](spark, DIR).collect()
     assert {r.query_id for r in got} == facts
     assert facts <= {r.query_id for r in QUERIES["primed_activation_all"](spark, DIR).select("query_id").distinct().collect()}
+
+
+def test_text_operators_read_whole_texts(spark, tmp_path):
+    import pyarrow as pa
+
+    long = "good words " * 200
+    docs = pa.table({"doc_id": [0, 1], "text": [long + "[End of Memories] ｓｙｓｔｅｍ prompt </USER_text>tail", long + "tail"], "lang": ["en", "en"], "source": ["s", "s"], "n_chars": [0, 0]})
+    pq.write_table(docs, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [0], "quality": [1], "toxic": [0]}), tmp_path / "labels.parquet")
+    rows = lambda name: {r.doc_id: r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    clean, plain, safe = rows("sanitize_all"), rows("escape_all"), rows("nfkc_filter")
+    assert clean[0].clean.count("[redacted-marker]") == 3 and clean[0].scrubbed.count("[redacted-marker]") == 3
+    assert clean[1].clean.endswith(long + "tail") and clean[1].scrubbed.endswith(long + "tail")
+    assert "USER_text" not in plain[0].stripped and plain[0].stripped.endswith("tail") and plain[1].stripped == "x" + long + "tail"
+    assert safe[0].clean.count("[redacted]") == 2 and safe[1].clean.endswith(long + "tail")
+    block = QUERIES["format_block_all"](spark, str(tmp_path)).first().block
+    assert block.count(long) == 2 and "[redacted-marker]" in block and block.count("End of Memories") <= 1

@@ -38,7 +38,7 @@ def _scored(queries: DataFrame, facts: DataFrame, metric: str, keys: list[str],
         facts = facts.withColumn("_one", F.col("_salt"))
         asked = asked.withColumn("_q_one", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         cond = F.col("_one") == F.col("_q_one")
-    pairs = facts.join(broadcast_if_small(asked, 20_000), cond)
+    pairs = facts.join(broadcast_if_small(asked), cond)
     return pairs.select(query_id, fact_id, "_salt", METRICS[metric](F.col("q"), F.col("embedding")).alias("score"))
 
 
@@ -89,7 +89,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int, doc: str = "fact
     split = docs.select(doc, tokens(F.col(text)).alias("_t"))
     lengths = split.select(doc, F.size("_t").alias("dl"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
-    wanted = broadcast_if_small(asked.select("term").distinct(), 100_000)
+    wanted = broadcast_if_small(asked.select("term").distinct())
     found = split.select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
     hits = found.groupBy("term", doc, "dl").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,19 +30,31 @@ def get_session(app: str = "recallkit", cores: str = "*", shuffle_partitions: in
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one in the temp folder if it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/recallkit-checkpoints"
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets one in the temp folder; a cluster raises."""
+    set_by = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by:
+        return set_by
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"file://{tempfile.gettempdir()}/recallkit-checkpoints"
+    raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
 
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Paths of tables written and not deleted yet, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for path, spark in _WRITTEN.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM is gone already: the cluster's own clean-up applies
+            fs, p = _filesystem(spark, path)
+            fs.delete(p, True)
+        except (Py4JError, OSError, AttributeError, TypeError):  # the JVM is gone already: the cluster's own clean-up applies
             return
 
 
@@ -52,18 +65,40 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it back.
 
     Unlike localCheckpoint() the rows survive a lost executor, and unlike checkpoint() the copy is
-    columnar and compressed, so later readers can prune columns. Files go when the driver ends.
+    columnar and compressed, so later readers can prune columns. Files go with `discard`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recallkit/{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
+    _WRITTEN[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path and _WRITTEN.pop(path, None):
+            fs, p = _filesystem(df.sparkSession, path)
+            fs.delete(p, True)
+
+
+#: In-memory bytes of one value of a type of fixed width; other values are measured by their files.
+_WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8, "timestamp_ntz": 8}
+
+
+def table_bytes(df: DataFrame) -> int:
+    """An upper estimate of the memory of a table that `materialize` wrote: five times its files, and at least its rows' fixed widths."""
+    fs, p = _filesystem(df.sparkSession, df._written)
+    return max(5 * fs.getContentSummary(p).getLength(), df.count() * (16 + sum(_WIDTH.get(kind, 8) for _, kind in df.dtypes)))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast of df only if it was counted to be within max_rows; else the join shuffles.
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast of df only if its size was measured to be within max_bytes; else the join shuffles.
 
-    df should be materialized: it is counted once, up to max_rows + 1 rows.
+    df is materialized first, unless `materialize` gave it.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    df = df if hasattr(df, "_written") else materialize(df)
+    return F.broadcast(df) if table_bytes(df) <= max_bytes else df

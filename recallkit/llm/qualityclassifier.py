@@ -144,7 +144,7 @@ def judge(df: DataFrame, model: Model, host: str = "source", path: str = "lang",
     rest = [c for c in df.columns if c not in ("evidence", "path_quality", "host_quality", "quality", "good")]
     df = df.select(*rest)
     sites = posteriors(evidence(df, model, text).select(host, path, "evidence"), host, path)
-    sites = broadcast_if_small(materialize(sites), 100_000)
+    sites = broadcast_if_small(materialize(sites))
     rows = evidence(df, model, text).join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.ln(clamp(c) / (1 - clamp(c)))

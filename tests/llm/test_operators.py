@@ -245,6 +245,30 @@ def test_lines_planted(spark):
     for i, (n, dropped, text) in H.kept_lines(texts).items():
         assert (got[i].n_lines, got[i].n_dropped, got[i].kept) == (n, dropped, text), i
     assert got[11].keep_bitmap is None and got[3].keep_bitmap
+    assert all(b.bits != -1 for b in got[3].keep_bitmap) and [b.word for b in got[3].keep_bitmap] == [0, 3]  # words without dropped lines take no room
+    same = linededup.reduce(df)
+    assert same.columns == df.columns and {(r.kept, r.n_lines, r.other) for r in same.collect()} == {("a", "b", "c")}
+
+
+def test_lines_hot_hashes_in_shares(spark):
+    """Hashes that many documents hold are cut into shares and merged; the sort by document and position is part of the plan."""
+    texts = [(i if i % 7 else None, "\n".join(["hot " * 20] * (1 + i % 2) + [f"rare {i % 40} " * 9, f"own {i}"])) for i in range(1, 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    lines = linededup.long_lines(df, "doc_id", "text", 40)
+    assert len(linededup.frequent(lines)) >= 1
+    plan = linededup.ranked(lines, linededup.frequent(lines))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(_h") == 1 and "hashpartitioning" not in plan and plan.count("Sort [") == 1 and "_doc#" in plan[plan.index("Sort [") :].split("\n")[0] and "_at#" in plan[plan.index("Sort [") :].split("\n")[0]
+    holders = {}
+    for i, t in texts:
+        for line in t.split("\n"):
+            holders.setdefault(H.key(line), set()).add(i)
+    want = []
+    for i, t in texts:
+        of = lambda x: holders[H.key(x)] - {None}
+        kept = [x for x in t.split("\n") if not (len(H.key(x)) >= 40 and len(of(x)) >= 5 and max(of(x)) != i)]
+        want.append((i, "\n".join(kept)))
+    got = [(r.doc_id, r.text) for r in linededup.reduce(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_lines_odd(spark):

@@ -3,8 +3,10 @@
 A sequence has three capacities: tokens, documents (pieces), and attention cost (the sum of squared
 piece lengths, as attention stays inside a document). A piece goes to the open sequence that has room
 for it in all three and scores best: by the weighted dot product of the piece's demands with the
-residual capacities, or by the weighted norm of what would stay free. All demands follow from a
-piece's length, so pieces of one length are alike: the plan is made over counts of lengths (at most
+residual capacities, or by the weighted norm of what would stay free. Tokens are given; the other two capacities are chosen from
+the data, as small as they can be without another sequence (`tightest`).
+
+All demands follow from a piece's length, so pieces of one length are alike: the plan is made over counts of lengths (at most
 `tokens` rows, whatever the input's size), longest first, and each piece then finds its place from
 its rank among the pieces of its length. Ranks come from hashed groups, so a length that a third of
 all pieces share is still counted and ranked by many tasks.
@@ -21,7 +23,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +32,49 @@ from pyspark.sql import functions as F
 
 from .textvec import Texts, slices, trim
 
-#: Fixed value: how the tokenizer file cuts lower-case words, letters limited to those of PLAIN.
+#: Fixed value: how the tokenizer file cuts lower-case words, letters limited to those of LETTERS.
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 #: Characters that normalisation only lower-cases.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The lower-case letters among them, and the characters that stand for them at a word's end.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 FINALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(0xC0, 0xDF), 0xF7]))
+#: By last byte: what stands for it at a word's end.
+FINAL_BYTE = np.arange(256, dtype=np.uint8)
+FINAL_BYTE[[c.encode()[-1] for c in LETTERS]] = [c.encode()[-1] for c in FINALS]
 #: Distinct chunks whose ids a worker remembers (about 40 bytes each): the first ones, among them the common ones.
 REMEMBERED = 250_000
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, .. of every run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordTokenizer:
     """Ids of a `tokenizers` file whose words never cross white space.
 
     Texts are cut at ASCII white space. Each distinct chunk (by 64-bit hash and length) is encoded once and
     remembered. Words of LETTERS go through the file's merges in the tiktoken library, many in one call; marks
-    and digits, and chunks with any other character, through the file's own pipeline.
+    and digits, and chunks with any other character or a special token's string, through the file's own pipeline. As in the library, the string of a
+    special token in a text is that token, unless `plain_specials`.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = plain_specials
+        self.specials = [] if plain_specials else [t.content.encode() for t in self.full.get_added_tokens_decoder().values()]
         self.engine, self.to_id = _merger(self.full)
         self.final = dict(zip(LETTERS, FINALS, strict=True))
         self.marks: dict[str, bytes] = {}
+        alone = [np.frombuffer(self.slow(chr(c)), "<u4") for c in range(0x21, 0x7F)]
+        self.alone, self.alone_n = np.concatenate(alone), np.zeros(256, np.int64)
+        self.alone_n[0x21:0x7F] = [len(x) for x in alone]
+        self.alone_at = np.cumsum(self.alone_n) - self.alone_n
         self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def slow(self, text: str) -> bytes:
@@ -70,28 +87,73 @@ class WordTokenizer:
             self.marks[text] = self.slow(text)
         return self.marks[text]
 
-    def learn(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each chunk."""
-        final = self.final
-        cut = [PLAIN_WORD.findall(c.lower()) if PLAIN.fullmatch(c) else None for c in chunks]
-        words = "\n".join([w[:-1] + final[w[-1]] for ws in cut if ws for w in ws if w[0] in final])
-        ranks = np.array(self.engine(words), np.int64)
-        data, ends = self.to_id[ranks].tobytes(), iter([*np.flatnonzero(ranks == 10).tolist(), len(ranks)])
-        out, at = [], 0
-        for chunk, ws in zip(chunks, cut, strict=True):
-            if ws is None:
-                out.append(self.slow(chunk))
-                continue
-            parts = []
-            for w in ws:
-                if w[0] in final:
-                    end = next(ends)
-                    parts.append(data[4 * at : 4 * end])
-                    at = end + 1
-                else:
-                    parts.append(self.mark(w))
-            out.append(b"".join(parts))
-        return out
+    def single(self, chunk: bytes) -> bytes:
+        """The ids of a chunk by itself."""
+        text = chunk.decode()
+        if not PLAIN.fullmatch(text) or any(x in chunk for x in self.specials):
+            return self.slow(text)
+        parts = []
+        for w in PLAIN_WORD.findall(text.lower()):
+            parts.append(self.to_id[self.engine(w[:-1] + self.final[w[-1]])].tobytes() if w[0] in self.final else self.mark(w))
+        return b"".join(parts)
+
+    def learn(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the chunks data[s:e], as one array, and where each chunk's begin in it and how many they are.
+
+        Chunks of plain characters without an apostrophe are cut and encoded together: a word is a run of letters, one digit, or a run of marks.
+        """
+        lengths = e - s
+        begins = np.cumsum(lengths) - lengths
+        blob = data[_runs(s, lengths)]
+        lead = blob == 0xC3
+        second = np.concatenate([[False], lead[:-1]])
+        odd = (blob < 0x21) | (blob == 0x7F) | (blob == 0x27) | ((blob >= 0x80) & ~lead & ~second) | (second & ((blob == 0x97) | (blob == 0xB7)))
+        alone = np.add.reduceat(odd, begins) > 0
+        if any(x in blob.tobytes() for x in self.specials):
+            alone |= [any(x in blob[a : a + n].tobytes() for x in self.specials) for a, n in zip(begins.tolist(), lengths.tolist(), strict=True)]
+        singly = [self.single(blob[a : a + n].tobytes()) for a, n in zip(begins[alone].tolist(), lengths[alone].tolist(), strict=True)]
+        n, at = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+        n[alone] = [len(x) // 4 for x in singly]
+        own = np.frombuffer(b"".join(singly), "<u4")
+        at[alone] = np.cumsum(n[alone]) - n[alone]
+        together = ~alone
+        if not together.any():
+            return own, at, n
+        inside = np.repeat(together, lengths)
+        blob, lead, second, size = blob[inside], lead[inside], second[inside], lengths[together]
+        upper = (blob >= 0x41) & (blob <= 0x5A) | second & (blob <= 0x9E)
+        blob = blob + np.where(upper, np.uint8(0x20), np.uint8(0))
+        kind = np.where((blob >= 0x61) & (blob <= 0x7A) | lead | second, 0, np.where((blob >= 0x30) & (blob <= 0x39), 1, 2)).astype(np.int8)
+        start = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == 1)
+        first = np.cumsum(size) - size
+        start[first] = True
+        a = np.flatnonzero(start)
+        z = np.append(a[1:], len(blob))
+        word = kind[a] == 0
+        blob[z[word] - 1] = FINAL_BYTE[blob[z[word] - 1]]
+        letters = z[word] - a[word]
+        line = np.full(int(letters.sum()) + len(letters), 10, np.uint8)
+        line[_runs(np.cumsum(letters + 1) - letters - 1, letters)] = blob[kind == 0]
+        ranks = np.array(self.engine(line.tobytes().decode()), np.int64)
+        ends = np.flatnonzero(ranks == 10)
+        source, offset, count = [self.to_id[ranks], self.alone], np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        offset[word] = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else 0
+        count[word] = ends - offset[word]
+        sign = ~word & (z - a == 1)
+        offset[sign] = len(ranks) + self.alone_at[blob[a[sign]]]
+        count[sign] = self.alone_n[blob[a[sign]]]
+        top, places = len(ranks) + len(self.alone), {}
+        for k in np.flatnonzero(~word & (z - a > 1)).tolist():
+            mark = blob[a[k] : z[k]].tobytes()
+            if mark not in places:
+                ids = np.frombuffer(self.mark(mark.decode()), "<u4")
+                places[mark] = (top, len(ids))
+                source.append(ids)
+                top += len(ids)
+            offset[k], count[k] = places[mark]
+        n[together] = np.add.reduceat(count, np.searchsorted(a, first))
+        at[together] = len(own) + np.cumsum(n[together]) - n[together]
+        return np.concatenate([own, np.concatenate(source)[_runs(offset, count)]]), at, n
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin and the last's end."""
@@ -104,20 +166,16 @@ class WordTokenizer:
         there[inside] = self.keys[k[inside]] == keys[inside]
         if not there.all():
             new = where[~there]
-            coded = self.learn([bytes(texts.data[a:b]).decode() for a, b in zip(s[new].tolist(), e[new].tolist(), strict=True)])
-            n = np.array([len(c) // 4 for c in coded], np.int64)
-            at = len(self.ids) + np.cumsum(n) - n
-            ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), "<u4")])
+            ids, at, n = self.learn(texts.data, s[new], e[new])
+            at, ids = at + len(self.ids), np.concatenate([self.ids, ids])
             known = (*(np.insert(old, k[~there], add) for old, add in ((self.keys, keys[~there]), (self.at, at), (self.n, n))), ids)
             if len(self.keys) < REMEMBERED:
                 self.keys, self.at, self.n, self.ids = known
             k = np.searchsorted(known[0], keys)
         _, at, n, ids = known
         size = n[k][which]
-        end = np.cumsum(size)
-        begin = np.concatenate([[0], end])
-        flat = ids[np.repeat(at[k][which] - begin[:-1], size) + np.arange(begin[-1])]
-        return flat, begin[first]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        return ids[_runs(at[k][which], size)], begin[first]
 
 
 def _merger(tokenizer):
@@ -168,22 +226,22 @@ def _shown_bytes() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def tokenizer(path: str, plain_specials: bool = False) -> WordTokenizer:
+    if (path, plain_specials) not in _TOKENIZERS:
+        _TOKENIZERS[path, plain_specials] = WordTokenizer(path, plain_specials)
+    return _TOKENIZERS[path, plain_specials]
 
 
-def pieces(df: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, text: str = "text") -> DataFrame:
-    """One row per piece of each document: df's other columns, piece, start, length, and ids (binary, little-endian unsigned 32-bit)."""
+def pieces(df: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, text: str = "text", plain_specials: bool = False) -> DataFrame:
+    """One row per piece of each document: df's other columns, piece, start, length, and ids (binary, little-endian unsigned 32-bit). Strings of special tokens are those tokens, as the library has it, unless plain_specials."""
     rest = [c for c in df.columns if c not in (text, "piece", "start", "length", "ids")]
 
     @F.arrow_udf("array<binary>")
     def cut(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        t, end, step = tokenizer(path), np.array([end_id], "<u4").tobytes(), 4 * tokens
+        t, end, step = tokenizer(path, plain_specials), np.array([end_id], "<u4").tobytes(), 4 * tokens
         for column in parts:
             out = []
             for part in slices(pa.record_batch([column], ["text"]), "text", 512 << 10):
@@ -202,17 +260,47 @@ def pieces(df: DataFrame, path: str, tokens: int = 4096, end_id: int = 1, text:
 
 @dataclass(frozen=True)
 class Capacity:
-    """What one sequence holds. At the defaults only the tokens bind: no sequence has more pieces than tokens, nor a higher cost than one whole piece."""
+    """What one sequence holds."""
 
     tokens: int = 4096
     documents: int = 4096
     cost: int = 4096 * 4096
     #: Of tokens, documents, cost, each measured in parts of its capacity.
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.05)
+    weights: tuple[float, float, float] = (1.0, 0.2, 0.2)
     #: "norm": least weighted norm of the residual after placing; "dot": largest weighted dot product of demand and residual.
     rule: str = "norm"
 
 
+def sequences(rows: list[tuple[int, int, int, int, int, int, int]]) -> int:
+    """The number of sequences of a plan."""
+    return max((first + pieces // per for _, _, pieces, per, first, _, _ in rows), default=0)
+
+
+def tightest(counts: dict[int, int], tokens: int = 4096, slack: float = 0.0, **options) -> tuple[Capacity, list]:
+    """The least capacities of documents (a power of two) and then of cost (eighths of tokens squared) that take at most `slack` times more
+    sequences than tokens alone would, and the plan. So documents are spread and costs are levelled as far as the number of sequences allows.
+
+    A piece of `tokens` tokens has the highest cost that any sequence can have; where there is one, cost has its full capacity and takes part in choosing
+    sequences only.
+    """
+    cap = Capacity(tokens, tokens, tokens * tokens, **options)
+    best = plan(counts, cap)
+    most = int(sequences(best) * (1 + slack))
+    documents = 1 << max(max((slot + per for _, _, _, per, _, _, slot in best), default=1) - 1, 0).bit_length()
+    while documents >= 1:
+        rows = plan(counts, replace(cap, documents=documents))
+        if sequences(rows) > most:
+            break
+        cap, best, documents = replace(cap, documents=documents), rows, documents // 2
+    for eighths in range(1, 8):
+        cost = tokens * tokens * eighths // 8
+        if max(counts, default=tokens) ** 2 <= cost:
+            rows = plan(counts, replace(cap, cost=cost))
+            if sequences(rows) <= most:
+                return replace(cap, cost=cost), rows
+    return cap, best
+
+
 def plan(counts: dict[int, int], cap: Capacity) -> list[tuple[int, int, int, int, int, int, int]]:
     """Place all pieces: rows (length, first rank, pieces, pieces per sequence, first sequence, first offset, first slot).
 
@@ -262,8 +350,8 @@ def plan(counts: dict[int, int], cap: Capacity) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(df: DataFrame, cap: Capacity = Capacity(), keys: tuple[str, ...] = ("doc_id", "piece"), length: str = "length", salt: int = 256) -> DataFrame:
-    """df with sequence_id, offset (tokens before the piece in its sequence) and slot (pieces before it).
+def pack(df: DataFrame, cap: Capacity | None = None, keys: tuple[str, ...] = ("doc_id", "piece"), length: str = "length", tokens: int = 4096, salt: int = 256) -> DataFrame:
+    """df with sequence_id, offset (tokens before the piece in its sequence) and slot (pieces before it); without capacities those of `tightest`.
 
     df is read twice: give it materialized. The table of the plan has at most a few rows per length
     (`tokens` of them), so its broadcast is bounded by the capacity, not by the data.
@@ -273,8 +361,9 @@ def pack(df: DataFrame, cap: Capacity = Capacity(), keys: tuple[str, ...] = ("do
     groups = df.groupBy(F.col(length).alias("_n"), "_g").agg(F.count(F.lit(1)).alias("_c"))
     before = groups.withColumn("_before", F.sum("_c").over(Window.partitionBy("_n").orderBy("_g")) - F.col("_c")).select("_n", "_g", "_before")
     counts = {r["_n"]: r["_s"] for r in groups.groupBy("_n").agg(F.sum("_c").alias("_s")).collect()}  # at most `tokens` rows
+    rows = plan(counts, cap) if cap else tightest(counts, tokens)[1]
     table: dict[int, list] = defaultdict(list)
-    for n, *rest in plan(counts, cap):
+    for n, *rest in rows:
         table[n].append(tuple(map(int, rest)))
     places = spark.createDataFrame([(int(n), p) for n, p in table.items()], "_m long, _p array<struct<rank:long,pieces:long,per:long,first:long,offset:long,slot:long>>")
     ranked = df.withColumn("_k", F.row_number().over(Window.partitionBy(length, "_g").orderBy(*keys)) - 1)

@@ -1,12 +1,12 @@
 """Operator 3: shards as runs of a Hilbert curve over quantised metadata (DataFrame functions only).
 
-Each dimension is quantised to 2**bits bins of about equal row counts; a row's cell has an index on the
+Each dimension is quantised to 2**bits bins of about equal row counts (strings by the order of whole distinct values, weighted by their rows); a row's cell has an index on the
 Hilbert curve through all cells, rows are ordered by (index, hash of the keys, keys), and the order is cut into
 runs of equal row counts (law `rows`) or near equal bytes (law `bytes`). Rows of a shard are close in
 every dimension, so a reader that filters on any of them skips most shards by their min/max.
 
-Ranks come from counts per (cell, sub-cell): a cell that a third of all rows share is ranked by `subcells`
-tasks. The curve is a constant table of 2**(bits * dimensions) numbers, and that many rows at most are broadcast.
+Ranks come from counts per (cell, sub-cell): a cell that a third of all rows share is ranked by many
+tasks, in sub-cells whose number follows the table's rows. The curve is a constant table of 2**(bits * dimensions) numbers, and that many rows at most are broadcast.
 
 Defined cases: a null in a dimension sorts before all values; null text has size 1 and the
 checksum of no bytes; ties are cut by the keys, then by size, and repeated rows each have a slot of their own;
@@ -19,17 +19,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recallkit.session import discard, materialize
+
 OUTPUTS = ("curve", "shard", "slot")
 
 
-def order_code(df: DataFrame, name: str) -> Column:
-    """A number in the column's order: strings by their first 7 bytes, nulls first. Equal values have equal codes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.col(name).cast("binary")), 1, 14), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("double"), F.lit(-1.0))
+def is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, T.StringType)
+
+
+def number(df: DataFrame, name: str) -> Column:
+    """A column of numbers or times as a number, nulls first."""
     return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
 
+def text_points(df: DataFrame, name: str, n: int) -> list[str]:
+    """The least strings of n runs of about equal row counts, in order; whole strings are compared, and equal ones stay together.
+
+    Distinct strings are counted and ordered by ranges; a running count inside each range and one number per range give every
+    string the rows before it. What is collected is a row per range and one per run.
+    """
+    counts = df.groupBy(F.col(name).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ordered = materialize(counts.repartitionByRange(F.col("_v").asc_nulls_first()).withColumn("_p", F.spark_partition_id()))
+    sums = {r["_p"]: r["_s"] for r in ordered.groupBy("_p").agg(F.sum("_c").alias("_s")).collect()}
+    total, start, before = sum(sums.values()), {}, 0
+    for p in sorted(sums):
+        start[p], before = before, before + sums[p]
+    if not total:
+        return []
+    first = df.sparkSession.createDataFrame(list(start.items()), "_q int, _b long")
+    running = F.sum("_c").over(Window.partitionBy("_p").orderBy(F.col("_v").asc_nulls_first())) - F.col("_c")
+    runs = ordered.withColumn("_r", running).join(F.broadcast(first), F.col("_p") == F.col("_q"))  # a row per range
+    runs = runs.withColumn("_run", F.expr(f"(_b + _r) * {n} div {total}"))
+    points = runs.where("_v is not null and _run > 0").groupBy("_run").agg(F.min("_v").alias("_v")).orderBy("_run").collect()
+    discard(ordered)
+    return [r["_v"] for r in points]
+
+
 def curve(bits: int, dims: int) -> list[int]:
     """The index on the Hilbert curve of every cell, cells numbered by their bins' bits, first dimension highest.
 
@@ -59,28 +85,33 @@ def curve(bits: int, dims: int) -> list[int]:
 
 
 def bins(df: DataFrame, dims: list[str], bits: int) -> Column:
-    """Each row's cell: per dimension the number of cut points (quantiles of all rows) that lie below the value."""
+    """Each row's cell: per dimension the number of cut points (quantiles of all rows) at or below the value."""
     cuts = [k / 2**bits for k in range(1, 2**bits)]
-    found = df.agg(*[F.percentile_approx(order_code(df, d), F.array(*map(F.lit, cuts)), 10_000).alias(f"q{k}") for k, d in enumerate(dims)]).first()  # bounded by the parameters
+    numbers = [d for d in dims if not is_text(df, d)]
+    found = df.agg(F.lit(0).alias("_"), *[F.percentile_approx(number(df, d), F.array(*map(F.lit, cuts)), 10_000).alias(f"q{k}") for k, d in enumerate(numbers)]).first()  # bounded by the parameters
     cell = F.lit(0).cast("long")
-    for k, d in enumerate(dims):
-        points = sorted(set(found[k] or []))
-        code = order_code(df, d)
+    for d in dims:
         n = F.lit(0)
-        for p in points:
-            n = n + (code > F.lit(p)).cast("int")
+        if d in numbers:
+            for p in sorted(set(found[1 + numbers.index(d)] or [])):
+                n = n + (number(df, d) > F.lit(p)).cast("int")
+        else:
+            for p in text_points(df, d, 2**bits):
+                n = n + F.coalesce(F.col(d) >= F.lit(p), F.lit(False)).cast("int")
         cell = cell * 2**bits + n
     return cell
 
 
-def shards(df: DataFrame, dims: list[str], n_shards: int, law: str = "rows", keys: list[str] = ["doc_id"], size: str = "size", bits: int = 4, subcells: int = 256) -> DataFrame:  # noqa: B006
+def shards(df: DataFrame, dims: list[str], n_shards: int, law: str = "rows", keys: list[str] = ["doc_id"], size: str = "size", bits: int = 4, subcells: int | None = None) -> DataFrame:  # noqa: B006
     """df with curve, shard (0 to n_shards - 1, in curve order) and slot (gapless from 0 within the shard).
 
-    df is read three times: give it materialized, without the texts.
+    df is read several times: give it materialized, without the texts. Each cell is ranked in `subcells` parts (default: as many as
+    leave about 2**17 rows in each if all rows share one cell).
     """
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     df = df.drop(*OUTPUTS)
+    subcells = subcells or max(64, 1 << (df.count() >> 17).bit_length())
     table = F.expr(f"array({', '.join(f'{x}L' for x in curve(bits, len(dims)))})")
     rows = df.withColumn("curve", F.get(table, bins(df, dims, bits).cast("int"))).withColumn("_sub", F.pmod(F.xxhash64(*keys), F.lit(subcells)))
     weight = F.col(size).cast("long")

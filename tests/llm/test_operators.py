@@ -149,6 +149,26 @@ def test_shard_query(spark, docs):
     assert all(a.curve <= b.curve for a, b in zip(order, order[1:], strict=False))
 
 
+def test_shards_prune_by_every_dimension(spark):
+    """Whole strings are ordered, so hosts that begin alike fall into different cells; a filter on any dimension meets fewer shards than in an order by hash."""
+    rows = [(i, f"https://host{i % 40:02d}.example.org", "abcd"[i * 7 % 4], i * 37 % 1000) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, host string, lang string, n long").withColumn("size", F.lit(1))
+    points = sharding.text_points(df, "host", 16)
+    assert points == sorted(set(points)) and len(points) == 15
+    dims = ["host", "lang", "n"]
+    shards = {"curve": [(r.shard, r) for r in sharding.shards(df, dims, 8).collect()], "hash": [(hash((r[0], 7)) % 8, dict(zip(df.columns, r, strict=False))) for r in rows]}
+
+    def met(kind, d):
+        ends = {}
+        for shard, r in shards[kind]:
+            lo, hi = ends.get(shard, (r[d], r[d]))
+            ends[shard] = (min(lo, r[d]), max(hi, r[d]))
+        values = {r[d] for _, r in shards[kind]}
+        return sum(lo <= v <= hi for v in values for lo, hi in ends.values()) / len(values)
+
+    assert all(met("hash", d) > 7.5 and met("curve", d) < 6 for d in dims) and sum(met("curve", d) for d in dims) < 15
+
+
 @pytest.mark.parametrize(("bits", "dims"), [(1, 2), (2, 2), (4, 2), (3, 3), (2, 4)])
 def test_curve_is_a_walk(bits, dims):
     """Every cell once, and neighbours on the curve are neighbours in space."""
@@ -159,12 +179,17 @@ def test_curve_is_a_walk(bits, dims):
 
 
 def full_ids(texts):
-    t = packing.WordTokenizer(WORDS)
-    return t, {x: t.full.encode(x, add_special_tokens=False).ids for x in texts}
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    return packing.WordTokenizer(WORDS), {x: library.encode(x, add_special_tokens=False).ids for x in texts}
 
 
 def test_word_tokenizer(docs):
-    hard = ["", " ", "It's  the 'S ÀÉ×÷ª", "x\x1c\x1cy! \x1c !\x85\n\n z", "<|endoftext|> a<|startoftext|>", "日本語 テ　x", "Ⅷ ﬁ Å Å İ ΑΣ ΑΣ.", "a" * 5000, "3.14 ½", "́ é x ß ẞ Straße ÿ", "👩‍👩‍👧", "don't'store we'll'd"]
+    hard = ["", " ", "It's  the 'S ÀÉ×÷ª", "x\x1c\x1cy! \x1c !\x85\n\n z", "<|endoftext|> a<|startoftext|>", "x'<|endoftext|>'s<|y", "a1b22'c--d...É.Ÿ ÀÁ,Þß(ÿ) 'tis '", "日本語 テ　x", "Ⅷ ﬁ Å Å İ ΑΣ ΑΣ.", "a" * 5000, "3.14 ½", "́ é x ß ẞ Straße ÿ", "👩‍👩‍👧", "don't'store we'll'd"]
+    rng = random.Random(5)
+    odd = [*"aZéÉß×÷'.-0 9\n\tÿÞ…日’İ", "<|endoftext|>"]
+    hard += ["".join(rng.choices(odd, k=rng.randrange(1, 60))) for _ in range(300)]
     t, want = full_ids([*hard, *list(docs.values())[:60]])
     for _ in range(2):
         flat, begin = t.encode(textvec.Texts(__import__("pyarrow").array(list(want))))
@@ -229,6 +254,22 @@ def test_vector_capacities(rule):
         packing.plan({101: 1}, cap)
 
 
+def test_capacities_from_the_data(docs):
+    """The query's own setting: the document capacity binds without another sequence, and pieces go elsewhere than by tokens alone; a cost capacity binds where no piece is full."""
+    t = packing.WordTokenizer(WORDS)
+    _, begin = t.encode(textvec.Texts(__import__("pyarrow").array(list(docs.values()))))
+    lengths = [min(4096, int(n) + 1 - k) for n in np.diff(begin) for k in range(0, int(n) + 1, 4096)]
+    counts = {n: lengths.count(n) for n in lengths}
+    cap, rows = packing.tightest(counts)
+    alone = packing.plan(counts, packing.Capacity(weights=(1.0, 0.0, 0.0)))
+    held = lambda plan: max(slot + per for _, _, _, per, _, _, slot in plan)
+    assert packing.sequences(rows) <= packing.sequences(alone) and cap.documents < 4096 and held(rows) <= cap.documents and rows != alone
+    short = {n: 9 for n in range(1, 1200, 7)}
+    cap, rows = packing.tightest(short)
+    assert cap.cost < 4096**2 and packing.sequences(rows) == packing.sequences(packing.plan(short, packing.Capacity(weights=(1.0, 0.0, 0.0))))
+    assert packing.tightest({})[1] == [] and packing.sequences(packing.tightest({1: 3})[1]) == 1
+
+
 def test_lines_query(spark, docs):
     want = H.kept_lines(list(docs.items()))
     for r in query(spark, "op5_line_dedup"):

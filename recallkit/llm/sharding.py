@@ -15,6 +15,8 @@ an empty table gives an empty table; other columns pass through unless they bear
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,8 @@ def number(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
 
 
-def text_points(df: DataFrame, name: str, n: int) -> list[str]:
-    """The least strings of n runs of about equal row counts, in order; whole strings are compared, and equal ones stay together.
+def text_points(df: DataFrame, name: str, n: int) -> list[tuple[int, str]]:
+    """The first strings of n runs of about equal row counts, with their runs' numbers, in order (a string of several runs begins the first); whole strings are compared, and equal ones stay together.
 
     Distinct strings are counted and ordered by ranges; a running count inside each range and one number per range give every
     string the rows before it. What is collected is a row per range and one per run.
@@ -53,7 +55,7 @@ def text_points(df: DataFrame, name: str, n: int) -> list[str]:
     runs = runs.withColumn("_run", F.expr(f"(_b + _r) * {n} div {total}"))
     points = runs.where("_v is not null and _run > 0").groupBy("_run").agg(F.min("_v").alias("_v")).orderBy("_run").collect()
     discard(ordered)
-    return [r["_v"] for r in points]
+    return [(r["_run"], r["_v"]) for r in points]
 
 
 def curve(bits: int, dims: int) -> list[int]:
@@ -85,7 +87,7 @@ def curve(bits: int, dims: int) -> list[int]:
 
 
 def bins(df: DataFrame, dims: list[str], bits: int) -> Column:
-    """Each row's cell: per dimension the number of cut points (quantiles of all rows) at or below the value."""
+    """Each row's cell: per dimension the number of cut points (quantiles of all rows) at or below the value, so few distinct values are spread over all bins."""
     cuts = [k / 2**bits for k in range(1, 2**bits)]
     numbers = [d for d in dims if not is_text(df, d)]
     found = df.agg(F.lit(0).alias("_"), *[F.percentile_approx(number(df, d), F.array(*map(F.lit, cuts)), 10_000).alias(f"q{k}") for k, d in enumerate(numbers)]).first()  # bounded by the parameters
@@ -93,11 +95,12 @@ def bins(df: DataFrame, dims: list[str], bits: int) -> Column:
     for d in dims:
         n = F.lit(0)
         if d in numbers:
-            for p in sorted(set(found[1 + numbers.index(d)] or [])):
-                n = n + (number(df, d) > F.lit(p)).cast("int")
+            for p, times in sorted(Counter(found[1 + numbers.index(d)] or []).items()):
+                n = n + F.when(number(df, d) > F.lit(p), times).otherwise(0)
         else:
-            for p in text_points(df, d, 2**bits):
-                n = n + F.coalesce(F.col(d) >= F.lit(p), F.lit(False)).cast("int")
+            last = 0
+            for run, p in text_points(df, d, 2**bits):
+                n, last = n + F.when(F.col(d) >= F.lit(p), run - last).otherwise(0), run
         cell = cell * 2**bits + n
     return cell
 

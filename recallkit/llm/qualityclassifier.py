@@ -8,12 +8,13 @@ tells (method of moments). The posterior adds the path's shrunken log-odds, agai
     logit(quality) = logit(document) + logit(path) - logit(global)
 
 Group statistics are sums over all documents (partial sums before any shuffle, so one host may hold any share of the
-rows). The document model is fitted on at most `rows` labelled documents (lowest hash of doc_id, texts of at
-most `longest` characters): that is the documented bound of the sample.
+rows). The document model is fitted on at most `rows` labelled documents and `most_bytes` of whole texts (`labelled_texts`): that is the documented bound
+of the sample. Each text is scored once; what the rows carry on is written with its evidence, read for the sums and read again for the posteriors.
 
 Defined cases: null or empty text has the model's score of an empty document; null host or path form a group of
 their own; without usable labels of both kinds every document's evidence is 1 (nothing is rejected); several labels of one document all count;
-repeated rows score alike; an empty table gives an empty table; other columns pass through unless they bear the names of the outputs.
+repeated rows score alike; an empty table gives an empty table; other columns pass through, `judge` replaces those that bear the names of its
+outputs, `keep_good` leaves them as they are.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from recallkit.session import broadcast_if_small, materialize
 
+from .labelled import labelled_texts
 from .textvec import SPACE, Texts, slices
 
 TAIL_BITS = 12
@@ -97,12 +99,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 200, rate: float = 0
     return Model(w, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 100_000, doc: str = "doc_id", text: str = "text") -> Model:
-    chosen = labels.where(F.col("quality").isNotNull() & F.col(doc).isNotNull()).select(F.col(doc).alias("_doc"), "quality")
-    chosen = chosen.orderBy(F.xxhash64("_doc"), "_doc", "quality").limit(rows)  # bounded, so its broadcast is
-    found = docs.where(F.length(text) <= longest).join(F.broadcast(chosen), F.col(doc) == F.col("_doc")).select("_doc", "quality", F.col(text).alias("text"))
-    found = found.toArrow().sort_by([("_doc", "ascending"), ("quality", "ascending"), ("text", "ascending")]).slice(0, 2 * rows)
-    return fit(found.column("text").to_pylist(), found.column("quality").to_numpy().astype(float))
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_bytes: int = 48 << 20, doc: str = "doc_id", text: str = "text") -> Model:
+    """A model from at most `rows` labels and `most_bytes` of whole texts."""
+    return fit(*labelled_texts(docs, labels, "quality", rows, most_bytes, doc, text))
 
 
 def evidence(df: DataFrame, model: Model, text: str = "text", out: str = "evidence") -> DataFrame:
@@ -139,14 +138,27 @@ def posteriors(rows: DataFrame, host: str, path: str, p: str = "evidence") -> Da
     return both.select("_host", "_path", ((F.col("_s") + b * F.col("host_quality")) / (F.col("_n") + b)).alias("path_quality"), "host_quality", F.lit(mean).alias("global_quality"))
 
 
-def judge(df: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", least: float = 0.4) -> DataFrame:
-    """df with evidence, path_quality, host_quality, quality and good (quality >= least). Texts are scored twice rather than shuffled."""
-    rest = [c for c in df.columns if c not in ("evidence", "path_quality", "host_quality", "quality", "good")]
-    df = df.select(*rest)
-    sites = posteriors(evidence(df, model, text).select(host, path, "evidence"), host, path)
-    sites = broadcast_if_small(materialize(sites))
-    rows = evidence(df, model, text).join(sites, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")))
+OUTPUTS = ("evidence", "path_quality", "host_quality", "quality", "good")
+
+
+def _judged(df: DataFrame, model: Model, carry: list[str], host: str, path: str, text: str, least: float) -> DataFrame:
+    """Rows (_row: struct of the columns to carry, and OUTPUTS); the caller's names are inside the struct, so none can clash."""
+    rows = df.select(F.struct(*carry).alias("_row"), F.col(host).alias("_h0"), F.col(path).alias("_p0"), F.col(text).alias("_text"))
+    rows = materialize(evidence(rows, model, "_text").drop("_text"))
+    sites = broadcast_if_small(materialize(posteriors(rows, "_h0", "_p0")))
+    rows = rows.join(sites, F.col("_h0").eqNullSafe(F.col("_host")) & F.col("_p0").eqNullSafe(F.col("_path")))
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-6)), F.lit(1 - 1e-6))
     logit = lambda c: F.ln(clamp(c) / (1 - clamp(c)))
     quality = 1 / (1 + F.exp(-(logit("evidence") + logit("path_quality") - logit("global_quality"))))
-    return rows.withColumn("quality", quality).select(*rest, "evidence", "path_quality", "host_quality", "quality", (F.col("quality") >= least).alias("good"))
+    return rows.withColumn("quality", quality).withColumn("good", F.col("quality") >= least).select("_row", *OUTPUTS)
+
+
+def judge(df: DataFrame, model: Model, carry: list[str] | None = None, host: str = "source", path: str = "lang", text: str = "text", least: float = 0.4) -> DataFrame:
+    """The columns to carry (default: all) with evidence, path_quality, host_quality, quality and good (quality >= least)."""
+    rest = [c for c in carry or df.columns if c not in OUTPUTS]
+    return _judged(df, model, rest, host, path, text, least).select(*[F.col("_row")[c].alias(c) for c in rest], *OUTPUTS)
+
+
+def keep_good(df: DataFrame, model: Model, host: str = "source", path: str = "lang", text: str = "text", least: float = 0.4) -> DataFrame:
+    """The good rows of df, with all of its columns."""
+    return _judged(df, model, df.columns, host, path, text, least).where("good").select(*[F.col("_row")[c].alias(c) for c in df.columns])

@@ -3,9 +3,9 @@
 Base rules: fewer than 50 words, or over half of the words inside 3-word windows that repeat in the text.
 The method: a document's histogram over character classes, and its histogram over its language's common words
 (and all others), are compared by Jensen-Shannon distance (base 2, so 0 to 1) to the language's references: the mean
-histograms of all documents of that language in the table that pass the base rules. Documents with too few characters or words for a
+histograms of all documents of that language in the table that pass the base rules (documents of no known language: of all known ones). Documents with too few characters or words for a
 stable histogram are not judged by it. All metrics come from one pass over the texts; references
-are at most one row per language known here.
+are one row per language known here, and one of them all.
 
 Words are runs of [^\\x20\\x09-\\x0D]. Windows are told apart by 64-bit hashes.
 
@@ -46,7 +46,7 @@ def _count(signs: Column, sign: str) -> Column:
 
 
 def metrics(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """df without the text, with METRICS, _chars (counts per class) and _words (counts per common word, then of all others).
+    """df without the text, with METRICS, _chars (counts per class), _words (counts per common word of the language, then of all others) and _any (words that are common in any language).
 
     Steps are separate projections whose results are used more than once, so each is computed once.
     """
@@ -67,8 +67,8 @@ def metrics(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     for code, words in COMMON.items():
         each = [F.expr(f"cast(size(filter(_known, w -> w = '{x}')) as bigint)") for x in words]
         per_lang = F.when(F.col(lang) == code, F.array(*each)).otherwise(per_lang)
-    anywhere = F.array(*[F.size("_known").cast("long")])
-    df = df.select(*rest, "_n", "n_words", "_twice", "_lines", F.array(*counts).alias("_ascii"), F.coalesce(per_lang, anywhere).alias("_common"))
+    anywhere = F.array(F.size("_known").cast("long"))
+    df = df.select(*rest, "_n", "n_words", "_twice", "_lines", F.array(*counts).alias("_ascii"), F.coalesce(per_lang, anywhere).alias("_common"), F.size("_known").cast("long").alias("_any"))
     covered = F.expr("aggregate(transform(_twice, (x, k) -> least(3, coalesce(get(_twice, k + 1) - x, 3))), 0L, (a, x) -> a + x)")
     return df.select(
         *rest,
@@ -79,6 +79,7 @@ def metrics(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
         covered.alias("n_repeat_words"),
         F.concat("_ascii", F.array(F.col("_n") - F.expr("aggregate(_ascii, 0L, (a, x) -> a + x)"))).alias("_chars"),
         F.concat("_common", F.array(F.col("n_words") - F.expr("aggregate(_common, 0L, (a, x) -> a + x)"))).alias("_words"),
+        "_any",
     )
 
 
@@ -98,10 +99,13 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", max_char: float
     rows = materialize(rows)
     share = "transform({0}, x -> x / {1})"
     judged = rows.withColumns({"_p": F.when(F.expr(f"aggregate(_chars, 0L, (a, x) -> a + x) >= {min_chars}"), F.expr(share.format("_chars", "aggregate(_chars, 0L, (a, x) -> a + x)"))), "_q": F.when(F.col("n_words") >= min_words, F.expr(share.format("_words", "n_words")))})
-    good = judged.where(~F.col("base_failed"))
+    good = judged.where(~F.col("base_failed") & (F.col("_lang") != ""))
     means = lambda c, n: F.array(*[F.avg(F.get(c, F.lit(k))) for k in range(n)])
-    refs = good.groupBy("_lang").agg(means("_p", len(CLASSES)).alias("_pr"), means("_q", 11).alias("_qr"), means("_q", 2).alias("_qr2"))
-    refs = refs.select(F.col("_lang").alias("_l"), "_pr", F.when(F.col("_lang") == "", F.col("_qr2")).otherwise(F.col("_qr")).alias("_qr"))  # one row per known language
+    share_any = F.when(F.col("n_words") >= min_words, F.col("_any") / F.col("n_words"))
+    refs = good.groupBy(F.col("_lang").alias("_l")).agg(means("_p", len(CLASSES)).alias("_pr"), means("_q", 11).alias("_qr"))
+    every = good.agg(means("_p", len(CLASSES)).alias("_pr"), F.array(F.avg(share_any), F.avg(1 - share_any)).alias("_qr"))
+    refs = refs.unionByName(every.withColumn("_l", F.lit("")))  # one row per known language, and one of them all
+    refs = refs.withColumns({c: F.when(F.forall(c, lambda x: x.isNotNull()), F.col(c)) for c in ("_pr", "_qr")})
     out = judged.join(F.broadcast(refs), F.col("_lang") == F.col("_l"), "left")
     out = out.withColumns({"char_distance": distance("_p", "_pr"), "word_distance": distance("_q", "_qr")})
     far = (F.coalesce("char_distance", F.lit(0.0)) > max_char) | (F.coalesce("word_distance", F.lit(0.0)) > max_word)

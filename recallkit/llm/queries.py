@@ -75,7 +75,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     model = qualityclassifier.train(docs, table(spark, sf_dir, "labels"))
-    return qualityclassifier.judge(docs, model).drop("text")
+    return qualityclassifier.judge(docs, model, ["doc_id", "source", "lang"])
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +97,9 @@ def op10_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    out = toxicity.score(docs, model)
-    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    out = toxicity.spans(docs, model)
+    places = F.transform("offending", lambda s: F.struct(s["start"], s["length"], F.round(s["score"], 6).alias("score")))
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), places.alias("offending"))
 
 
 QUERIES = {
@@ -159,11 +160,12 @@ g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_i
 g2 AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 rp AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g2) GROUP BY 1),
 m AS (SELECT doc_id, CASE WHEN lang IN ({langs}) THEN lang ELSE '' END AS l, len(w) AS n_words, length(t) - ca[4] AS word_chars, ca[6] AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-  list_append(ca, length(t) - list_sum(ca)::BIGINT) AS ch, length(t) AS nc, CASE lang {per} ELSE [len(kn)] END AS cw FROM b LEFT JOIN rp USING (doc_id)),
+  list_append(ca, length(t) - list_sum(ca)::BIGINT) AS ch, length(t) AS nc, len(kn) AS k, CASE lang {per} ELSE [len(kn)] END AS cw FROM b LEFT JOIN rp USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, CASE WHEN nc >= 200 THEN list_transform(ch, lambda x: x / nc) END AS p,
   CASE WHEN n_words >= 50 THEN list_transform(list_append(cw, n_words - list_sum(cw)::BIGINT), lambda x: x / n_words) END AS q FROM m),
-r AS (SELECT l, {mean('p', 8)} AS pr, CASE WHEN l = '' THEN {mean('q', 2)} ELSE {mean('q', 11)} END AS qr FROM f WHERE NOT base_failed GROUP BY 1),
-x AS (SELECT f.*, CASE WHEN p IS NOT NULL AND pr IS NOT NULL THEN {jsd('p', 'pr', 8)} END AS cd, CASE WHEN q IS NOT NULL AND qr IS NOT NULL THEN {jsd('q', 'qr', 'len(q)')} END AS wd FROM f LEFT JOIN r USING (l))
+g0 AS (SELECT *, CASE WHEN n_words >= 50 THEN k / n_words END AS a FROM f WHERE NOT base_failed AND l <> ''),
+r AS (SELECT l, {mean('p', 8)} AS pr, {mean('q', 11)} AS qr FROM g0 GROUP BY 1 UNION ALL SELECT '', {mean('p', 8)}, [avg(a), avg(1 - a)] FROM g0),
+x AS (SELECT f.*, CASE WHEN p IS NOT NULL AND pr[1] IS NOT NULL THEN {jsd('p', 'pr', 8)} END AS cd, CASE WHEN q IS NOT NULL AND qr[1] IS NOT NULL THEN {jsd('q', 'qr', 'len(q)')} END AS wd FROM f LEFT JOIN r USING (l))
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   round(cd, 6) AS char_distance, round(wd, 6) AS word_distance, NOT base_failed AND coalesce(cd, 0) <= 0.28 AND coalesce(wd, 0) <= 0.30 AS kept FROM x"""
 

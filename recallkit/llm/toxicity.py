@@ -4,27 +4,33 @@ A document is a bag of sentences; each sentence has a logistic score over its wo
 document's score is the noisy-or of its sentences' (at least one is toxic). Only document labels are known, so the
 sentence weights are trained through the noisy-or; afterwards the sentence scores locate the offending ones.
 
-Labels come from rows whose crc32(doc_id as text) mod 4 is not 2. Training takes at most `rows` of them (lowest hash
-of doc_id, texts of at most `longest` characters), collected to the driver: that is the documented bound of the sample. Features are hashes of the
-words (runs of letters, digits and bytes outside ASCII, lower-cased) and of their first 4, 5 and 6 bytes, so inflected forms share weights. labels, lang, source and doc_id are no features.
+Features are the words (runs of letters, digits and bytes outside ASCII, lower-cased) and their first 4, 5 and 6 bytes, told apart by 64-bit hashes,
+so inflected forms share weights. The noisy-or's log loss with an L1 penalty chooses among all features of at least `holders` toxic documents (`chosen`);
+the loss with a small ridge then fits the weights of those by Newton steps (`fit`). labels, lang, source and doc_id are no features.
 
-Defined cases: null or empty text has no sentence and scores what the model gives an empty document, 0; without any usable label of both kinds all scores
+Labels come from rows whose crc32(doc_id as text) mod 4 is not 2. Training takes at most `rows` of them and `most_bytes` of whole texts
+(`labelled_texts`), collected to the driver: that is the documented bound of the sample.
+
+Defined cases: null or empty text has no sentence, scores 0 and has no spans; without any usable label of both kinds all scores
 are 0; null labels and labels of unknown documents are left out; several labels of one document all count; repeated rows score
-alike; a null doc_id is not held out; an empty table gives an empty table; other columns pass through unless they bear the names of the outputs.
+alike; a null doc_id is not held out; an empty table gives an empty table; other columns pass through, also those that bear the names of label columns, unless they
+bear the name of the output.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labelled import labelled_texts
 from .textvec import ALNUM, Texts, mix, shingle_sets, slices
 
+#: Bits of the table that passes over most features which a model doesn't have.
 BITS = 18
 PREFIXES = (4, 5, 6)
 #: Bytes that end a sentence.
@@ -33,7 +39,7 @@ STOPS[[*b".!?\n"]] = True
 
 
 def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of every (sentence, word part), their sentences, each sentence's first byte, and each text's first sentence."""
+    """Hashes of every (sentence, word part), their sentences, each sentence's first byte, and each text's first sentence."""
     s, e, first = texts.words(ALNUM)
     data = texts.data
     begins = np.zeros(len(data) + 1, bool)
@@ -47,19 +53,42 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         long = e - s > k
         parts.append(texts.hash(s[long], s[long] + k) ^ np.uint64(k << 40))
         owners.append(sentence[long])
-    index = np.concatenate(parts) >> np.uint64(64 - BITS)
-    return index.astype(np.int64), np.concatenate(owners), begins, np.searchsorted(begins, texts.offsets)
+    return np.concatenate(parts), np.concatenate(owners), begins, np.searchsorted(begins, texts.offsets)
+
+
+def found(names: np.ndarray, table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the hashes are among the sorted names, and their places there; table marks the names' top bits."""
+    at = np.flatnonzero(table[hashes >> np.uint64(64 - BITS)])
+    place = np.searchsorted(names, hashes[at])
+    hit = place < len(names)
+    hit[hit] = names[place[hit]] == hashes[at[hit]]
+    return at[hit], place[hit]
+
+
+def marked(names: np.ndarray) -> np.ndarray:
+    table = np.zeros(2**BITS, bool)
+    table[names >> np.uint64(64 - BITS)] = True
+    return table
 
 
 @dataclass
 class Model:
+    """The features' hashes in order, their weights, and the bias of every sentence."""
+
+    names: np.ndarray
     weights: np.ndarray
     bias: float
+    table: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.table = marked(self.names)
 
     def sentences(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each sentence's -log(1 - p), first byte, and each text's first sentence."""
-        index, owner, begins, first = features(texts)
-        z = self.bias + np.bincount(owner, self.weights[index], len(begins))
+        """Each sentence's -log(1 - p), first byte, and each text's first sentence. A feature counts once in a sentence."""
+        hashes, owner, begins, first = features(texts)
+        at, place = found(self.names, self.table, hashes)
+        once = np.unique(owner[at] * max(len(self.names), 1) + place)
+        z = self.bias + np.bincount(once // max(len(self.names), 1), self.weights[once % max(len(self.names), 1)] if len(once) else None, len(begins))
         there = np.bincount(owner, minlength=len(begins)) > 0
         return np.where(there, np.logaddexp(0, z), 0.0), begins, first
 
@@ -69,6 +98,9 @@ class Model:
         return 1 - np.exp(-np.maximum(total[first[1:]] - total[first[:-1]], 0))
 
 
+NONE = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+
+
 def unlike(texts: list[str]) -> np.ndarray:
     """Which texts share neither of two MinHash values of their shingles with an earlier one: copies would count their words as evidence again."""
     keep, seen = np.ones(len(texts), bool), set()
@@ -80,66 +112,118 @@ def unlike(texts: list[str]) -> np.ndarray:
     return keep
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 150, rate: float = 0.1, l2: float = 1e-4, least: float = 5.5, holders: int = 4) -> Model:
-    """Adam on the noisy-or's log loss over the features that toxic documents hold clearly more often: in at least `holders` of them, and `least` standard deviations above chance."""
-    keep = unlike(texts)
-    texts, labels = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], labels[keep]
-    if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(2**BITS, np.float32), -40.0)
-    share, step = float((labels > 0).mean()), 128
-    among, docs = np.zeros(2**BITS, np.int64), np.zeros(2**BITS, np.int64)
-    for a in range(0, len(texts), step):  # one part at a time: what is kept is counts
-        index, owner, begins, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
-        doc = np.searchsorted(first, owner, side="right") - 1
-        pairs = np.unique(doc << BITS | index)
-        index = pairs & (2**BITS - 1)
-        docs += np.bincount(index, minlength=2**BITS)
-        among += np.bincount(index[labels[(pairs >> BITS) + a] > 0], minlength=2**BITS)
-    used = ((among - share * docs) / np.sqrt(np.maximum(docs, 1) * share * (1 - share)) >= least) & (among >= holders)
-    rows, cols, owners, base = [], [], [], 0
-    for a in range(0, len(texts), step):
-        index, owner, begins, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
-        present, row = np.unique(owner, return_inverse=True)  # sentences with any word
-        keys = np.unique((row << BITS | index)[used[index]])
-        rows.append((keys >> BITS) + base)
-        cols.append(keys & (2**BITS - 1))
-        owners.append(np.searchsorted(first, present, side="right") - 1 + a)
-        base += len(present)
-    row, doc, n = np.concatenate(rows), np.concatenate(owners), len(texts)
-    names, col = np.unique(np.concatenate(cols), return_inverse=True)
-    present = doc
-    order = np.argsort(col, kind="stable")
-    row_by_col, col_starts = row[order], np.searchsorted(col[order], np.arange(len(names)))
-    w, b = np.ones(len(names)), -6.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+@dataclass
+class Bags:
+    """Sentences (each one's document) and the features in them (sentence, feature number), of documents labelled toxic or not."""
+
+    doc: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    names: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], toxic: np.ndarray, holders: int, step: int = 128) -> Bags:
+        """With the features that at least `holders` toxic documents have."""
+        held = []
+        for k in np.flatnonzero(toxic).tolist():
+            held.append(np.unique(features(Texts(pa.array([texts[k]]), lower=True))[0]))
+        names, n = np.unique(np.concatenate(held), return_counts=True)
+        names = names[n >= holders]
+        table, rows, cols, docs, base = marked(names), [], [], [], 0
+        for a in range(0, len(texts), step):
+            hashes, owner, _, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
+            present, row = np.unique(owner, return_inverse=True)  # sentences with any word
+            at, place = found(names, table, hashes)
+            pairs = np.unique(row[at] * max(len(names), 1) + place)
+            rows.append((pairs // max(len(names), 1) + base).astype(np.int32))
+            cols.append((pairs % max(len(names), 1)).astype(np.int32))
+            docs.append(np.searchsorted(first, present, side="right") - 1 + a)
+            base += len(present)
+        return cls(np.concatenate(docs), np.concatenate(rows), np.concatenate(cols), names, toxic)
+
+    def only(self, keep: np.ndarray) -> Bags:
+        on = keep[self.col]
+        return Bags(self.doc, self.row[on], (np.cumsum(keep) - 1)[self.col[on]], self.names[keep], self.toxic)
+
+
+def slope(toxic: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Derivative of each document's loss by the sum of its sentences' -log(1 - p): 1 for clean ones, -1 / (e^total - 1) for toxic ones."""
+    return np.where(toxic, -1 / np.expm1(np.minimum(total, 50)), 1.0)
+
+
+def chosen(bags: Bags, l1: float, epochs: int = 100, rate: float = 0.1) -> tuple[Bags, np.ndarray, float]:
+    """Adam on the noisy-or's mean log loss with an L1 penalty (its proximal step); features at zero leave at epochs 40, 80 and the end."""
+    n, w, b = len(bags.toxic), np.zeros(len(bags.names)), -6.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, epochs + 1):
-        z = b + np.bincount(row, w[col], len(present))
-        total = np.maximum(np.bincount(doc, np.logaddexp(0, z), n), 1e-9)
-        # d loss / d total: 1 for clean documents, -1 / (e^total - 1) for toxic ones.
-        g_doc = np.where(labels > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0) / n
-        g_row = g_doc[doc] / (1 + np.exp(-z))
-        g = np.append(np.add.reduceat(g_row[row_by_col], col_starts) if len(names) else np.zeros(0), g_row.sum())
-        g = np.clip(g, -1, 1)
-        g[:-1] += l2 * w
+        z = b + np.bincount(bags.row, w[bags.col], len(bags.doc))
+        total = np.maximum(np.bincount(bags.doc, np.logaddexp(0, z), n), 1e-9)
+        g_row = slope(bags.toxic, total)[bags.doc] / n / (1 + np.exp(-z))
+        g = np.clip(np.append(np.bincount(bags.col, g_row[bags.row], len(w)), g_row.sum()), -1, 1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        step = pace * m / (1 - 0.9**t)
         w, b = w - step[:-1], b - step[-1]
-    weights = np.zeros(2**BITS, np.float32)
-    weights[names] = w
-    return Model(weights, float(b))
+        w = np.sign(w) * np.maximum(np.abs(w) - pace[:-1] * l1, 0)
+        if t in (40, 80, epochs):
+            keep = w != 0
+            bags, w, m, v = bags.only(keep), w[keep], m[np.append(keep, True)], v[np.append(keep, True)]
+    return bags, w, b
+
+
+def loss(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, bare: np.ndarray, toxic: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The noisy-or's log loss with the ridge, each sentence's logit, and each document's sum of -log(1 - p). x: sentences with features (the last column is 1); bare: sentences without any, per document."""
+    z = x @ theta
+    total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(toxic)) + bare * np.logaddexp(0, theta[-1]), 1e-9)
+    return float(np.where(toxic, -np.log(-np.expm1(-total)), total).sum() + (ridge * theta**2).sum() / 2), z, total
+
+
+def gradient(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, bare: np.ndarray, toxic: np.ndarray, ridge: np.ndarray, z: np.ndarray, total: np.ndarray) -> np.ndarray:
+    d = slope(toxic, total)
+    g = x.T @ (d[doc] / (1 + np.exp(-z))) + ridge * theta
+    g[-1] += (d * bare).sum() / (1 + np.exp(-theta[-1]))
+    return g
+
+
+def fit(texts: list[str], labels: np.ndarray, l1: float = 3e-4, ridge: float = 0.1, holders: int = 3, steps: int = 60) -> Model:
+    """The features that the penalised loss chooses, with the weights that the loss with a ridge gives them."""
+    keep = unlike(texts)
+    texts, toxic = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], labels[keep] > 0
+    if not toxic.any() or toxic.all():
+        return NONE
+    bags, w, b = chosen(Bags.of(texts, toxic, holders), l1)
+    some, at = np.unique(bags.row, return_inverse=True)
+    x = np.zeros((len(some), len(w) + 1))
+    x[:, -1], x[at, bags.col] = 1, 1
+    doc = bags.doc[some]
+    bare = np.bincount(bags.doc, minlength=len(toxic)) - np.bincount(doc, minlength=len(toxic))
+    theta, penalty = np.append(w, b), np.append(np.full(len(w), ridge), 0.0)
+    data = (x, doc, bare, toxic, penalty)
+    now, z, total = loss(theta, *data)
+    for _ in range(steps):
+        g = gradient(theta, *data, z, total)
+        p, rest = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
+        curved = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)  # of the logistic losses of sentences
+        curved[-1, -1] += bare.sum() * rest * (1 - rest)
+        way, pace = np.linalg.solve(curved, g), 1.0
+        after = loss(theta - way, *data)
+        while after[0] >= now and pace > 1e-4:
+            pace /= 2
+            after = loss(theta - pace * way, *data)
+        if now - after[0] < 1e-7 * now:
+            break
+        theta, (now, z, total) = theta - pace * way, after
+    return Model(bags.names, theta[:-1], float(theta[-1]))
 
 
 def held_out(doc: Column) -> Column:
     return F.coalesce(F.crc32(doc.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, longest: int = 100_000, doc: str = "doc_id", text: str = "text") -> Model:
-    """A model from at most `rows` labels, none of them held out."""
-    chosen = labels.where(F.col("toxic").isNotNull() & F.col(doc).isNotNull() & ~held_out(F.col(doc))).select(F.col(doc).alias("_doc"), "toxic")
-    chosen = chosen.orderBy(F.xxhash64("_doc"), "_doc", "toxic").limit(rows)  # bounded, so its broadcast is
-    found = docs.where(F.length(text) <= longest).join(F.broadcast(chosen), F.col(doc) == F.col("_doc")).select("_doc", "toxic", F.col(text).alias("text"))
-    found = found.toArrow().sort_by([("_doc", "ascending"), ("toxic", "ascending"), ("text", "ascending")]).slice(0, 2 * rows)
-    return fit(found.column("text").to_pylist(), found.column("toxic").to_numpy().astype(float))
+def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, most_bytes: int = 48 << 20, doc: str = "doc_id", text: str = "text") -> Model:
+    """A model from at most `rows` labels and `most_bytes` of whole texts, none of them held out."""
+    return fit(*labelled_texts(docs, labels.where(~held_out(F.col(doc))), "toxic", rows, most_bytes, doc, text))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -154,22 +238,27 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     return df.withColumn(out, run(F.col(text)))
 
 
-def offending(df: DataFrame, model: Model, least: float = 0.3, text: str = "text", out: str = "offending") -> DataFrame:
-    """df with the sentences that score at least `least`: an array of their text and score, worst first."""
+def spans(df: DataFrame, model: Model, least: float = 0.3, text: str = "text", score: str = "score", out: str = "offending") -> DataFrame:
+    """df with each text's score and the sentences that score at least `least`: an array of start and length in bytes of the lower-cased text, the sentence there, and score, worst first."""
+    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("sentence", pa.string()), ("score", pa.float64())])
 
-    @F.arrow_udf("array<struct<sentence:string,score:double>>")
+    @F.arrow_udf("struct<score:double,spans:array<struct<start:long,length:long,sentence:string,score:double>>>")
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in parts:
-            rows = []
-            for one in column:
-                words = one.as_py() or ""
-                texts = Texts(pa.array([words]), lower=True)
-                loss, begins, _ = model.sentences(texts)
-                p, ends = 1 - np.exp(-loss), [*begins[1:].tolist(), len(texts.data)]
-                plain = Texts(pa.array([words]))
-                source = plain if len(plain.data) == len(texts.data) else texts  # lower-casing may change a letter's length
-                hits = sorted((-p[i], begins[i], ends[i]) for i in np.flatnonzero(p >= least))
-                rows.append([{"sentence": bytes(source.data[a:b]).decode().strip(), "score": float(-q)} for q, a, b in hits])
-            yield pa.array(rows, pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())])))
+            sums, rows = [np.zeros(0)], []
+            for piece in slices(pa.record_batch([column], ["text"]), "text"):
+                texts = Texts(piece.column(0), lower=True)
+                worth, begins, first = model.sentences(texts)
+                total = np.concatenate([[0.0], np.cumsum(worth)])
+                sums.append(1 - np.exp(-np.maximum(total[first[1:]] - total[first[:-1]], 0)))
+                p, ends = 1 - np.exp(-worth), np.append(begins[1:], len(texts.data))
+                hits = np.flatnonzero(p >= least)
+                of = np.searchsorted(first, hits, side="right") - 1
+                own: list[list[dict]] = [[] for _ in range(len(texts))]
+                for k, i in sorted(zip(of.tolist(), hits.tolist(), strict=True), key=lambda x: (x[0], -p[x[1]], x[1])):
+                    own[k].append({"start": int(begins[i] - texts.offsets[k]), "length": int(ends[i] - begins[i]), "sentence": texts.data[begins[i] : ends[i]].tobytes().decode().strip(), "score": float(p[i])})
+                rows += own
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(sums)), pa.array(rows, pa.list_(kind))], ["score", "spans"])
 
-    return df.withColumn(out, run(F.col(text)))
+    names = [c for c in df.columns if c not in (score, out)]
+    return df.select(*names, run(F.col(text)).alias("_tx")).select(*names, F.col("_tx.score").alias(score), F.col("_tx.spans").alias(out))

@@ -339,6 +339,16 @@ def test_rules_odd(spark):
     assert qualityrules.judge(H.empty(spark)).count() == 0
 
 
+def test_rules_unknown_language_is_judged_by_the_known_ones(spark):
+    """Documents of no known language have the mean of all known ones as their reference, never themselves."""
+    prose = [(i, "en", f"the cat of house {i} and a dog went to the garden in rain, that is what it was for. " + H.sentence(i, 60)) for i in range(20)]
+    strange = [(100, None, "### 12 %% 99 || <> 7 " * 30 + H.sentence(3, 60).upper()), (101, "xx", prose[0][2] + " more"), (102, None, None)]
+    got = {r.doc_id: r for r in qualityrules.judge(spark.createDataFrame(prose + strange, "doc_id long, lang string, text string")).collect()}
+    assert got[100].char_distance > 0.28 and got[101].char_distance < 0.1 and got[101].word_distance < 0.1 and got[102].char_distance is None
+    alone = qualityrules.judge(spark.createDataFrame(strange, "doc_id long, lang string, text string")).collect()
+    assert all(r.char_distance is None and r.word_distance is None for r in alone)
+
+
 def test_distance(spark):
     rows = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), (None, [1.0, 0.0])], "p array<double>, q array<double>")
     assert [r.d for r in rows.select(qualityrules.distance("p", "q").alias("d")).collect()] == [0.0, 1.0, None]
@@ -409,10 +419,71 @@ def test_toxicity_held_out_and_spans(spark):
     model = toxicity.train(docs, labels)
     got = toxicity.score(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     assert len(got) > 100 and all((r.score >= 0.3) == (r.toxic == 1) for r in got) and all(0 <= r.score <= 1 for r in got)
-    for r in toxicity.offending(docs.where("doc_id < 30"), model).collect():
+    for r in toxicity.spans(docs.where("doc_id < 30"), model).collect():
+        assert all(r.text.lower().encode()[x.start : x.start + x.length].decode().strip() == x.sentence for x in r.offending)
         assert all(any(w in s.sentence for w in TOXIC) for s in r.offending) and bool(r.offending) == (r.doc_id % 6 == 0)
 
 
+def test_toxicity_query_against_plain_noisy_or(spark, docs):
+    """The query's scores and spans from its own model's weights, sentence by sentence."""
+    import re
+
+    import pyarrow as pa
+
+    model = toxicity.train(spark.read.parquet(f"{DIR}/documents.parquet"), spark.read.parquet(f"{DIR}/labels.parquet"))
+    assert len(model.names) > 0 and (np.diff(model.names.astype(object)) > 0).all()
+    weight = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
+
+    def key(part: bytes) -> int:
+        t = textvec.Texts(pa.array([part.decode("latin-1")]))
+        t.data, t.offsets = np.frombuffer(part, np.uint8), np.array([0, len(part)])
+        return int(t.hash(np.array([0]), np.array([len(part)]))[0])
+
+    got = {r.doc_id: r for r in query(spark, "op10_noisy_or_toxicity")}
+    for i in sorted(docs)[::5]:
+        data, at, left, spans = docs[i].lower().encode(), 0, 1.0, []
+        for sentence in re.findall(rb"[^.!?\n]*[.!?\n]|[^.!?\n]+$", data):
+            parts = set()
+            for w in re.findall(rb"[a-zA-Z0-9\x80-\xff]+", sentence):
+                parts |= {key(w), *(key(w[:k]) ^ (k << 40) for k in toxicity.PREFIXES if len(w) > k)}
+            if parts:
+                p = 1 / (1 + np.exp(-model.bias - sum(weight.get(x, 0.0) for x in parts)))
+                left *= 1 - p
+                spans += [(at, len(sentence), round(p, 6))] if p >= 0.3 else []
+            at += len(sentence)
+        assert abs(got[i].score - (1 - left)) < 1e-9 and got[i].predicted == int(1 - left >= 0.3)
+        assert sorted((x.start, x.length) for x in got[i].offending) == sorted(x[:2] for x in spans)
+
+
+def test_toxicity_gradient():
+    """The noisy-or's gradient against differences of its loss, and the penalty's choice: weights of words without a meaning stay out."""
+    rng = np.random.default_rng(3)
+    x = np.hstack([rng.integers(0, 2, (40, 3)).astype(float), np.ones((40, 1))])
+    data = (x, np.sort(rng.integers(0, 12, 40)), rng.integers(0, 5, 12), rng.integers(0, 2, 12) > 0, np.array([0.1, 0.1, 0.1, 0.0]))
+    theta = np.array([0.5, -0.3, 0.2, -1.0])
+    _, z, total = toxicity.loss(theta, *data)
+    steps = [(toxicity.loss(theta + 1e-6 * e, *data)[0] - toxicity.loss(theta - 1e-6 * e, *data)[0]) / 2e-6 for e in np.eye(4)]
+    assert np.allclose(toxicity.gradient(theta, *data, z, total), steps, rtol=1e-4)
+    texts = [H.sentence(i, 30) + ". " + H.sentence(i + 7, 9) + (" horrid" if i % 5 == 0 else " lovely") + " common words here." for i in range(300)]
+    model = toxicity.fit(texts, np.array([float(i % 5 == 0) for i in range(300)]))
+    assert 1 <= len(model.names) < 60
+    plain = model.scores(textvec.Texts(__import__("pyarrow").array(["a horrid day", "a lovely day", "common words here"])))
+    assert plain[0] > 0.5 > 0.1 > max(plain[1:])
+
+
+def test_toxicity_sample_is_bounded_by_rows_and_bytes(spark):
+    from recallkit.llm.labelled import labelled_texts
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i else 1000), "c") for i in range(20)] + [(3, "x" * 10, "c"), (4, None, "c")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    texts, toxic = labelled_texts(docs, labels, "toxic", 100, 10_000)
+    assert len(texts) == 20 and len(toxic) == 20
+    assert len(labelled_texts(docs, labels, "toxic", 7, 10_000)[0]) == 7
+    texts, _ = labelled_texts(docs, labels, "toxic", 100, 105)
+    assert len(texts) == 10 and max(map(len, texts)) == 10
+    assert labelled_texts(docs.limit(0), labels, "toxic", 9, 99)[0] == []
+
+
 def test_toxicity_odd(spark):
     docs, labels = labelled(spark, 200)
     model = toxicity.train(docs, labels.unionByName(spark.createDataFrame([(None, 1, 0), (5, None, 0), (10**9, 1, 0)], labels.schema)))
@@ -436,6 +507,37 @@ def test_quality_query(spark):
     assert sum(r.good == (labels[r.doc_id] == 1) for r in rows) >= 0.95 * len(rows)
 
 
+def test_quality_query_against_brute_force(spark, docs):
+    """Evidence, shrunken sites and posterior of every row, from the query's own document model."""
+    import pyarrow as pa
+
+    tables = [spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels")]
+    model = qualityclassifier.train(*tables)
+    rows = tables[0].select("doc_id", "source", "lang").collect()
+    e = {r.doc_id: float(model.scores(textvec.Texts(pa.array([docs[r.doc_id]])))[0]) for r in rows}
+    mean = min(max(sum(e.values()) / len(e), 1e-3), 1 - 1e-3)
+    hosts, paths = {}, {}
+    for r in rows:
+        hosts.setdefault(r.source, []).append(e[r.doc_id])
+        paths.setdefault((r.source, r.lang), []).append(e[r.doc_id])
+
+    def strength(groups, centre):
+        spread = (sum(len(v) * (sum(v) / len(v) - centre[k]) ** 2 for k, v in groups.items()) - (len(groups) - 1) * mean * (1 - mean)) / len(e)
+        return min(max(mean * (1 - mean) / max(spread, 1e-9), 1.0), 1e6)
+
+    a = strength(hosts, dict.fromkeys(hosts, mean))
+    host = {k: (sum(v) + a * mean) / (len(v) + a) for k, v in hosts.items()}
+    b = strength(paths, {k: host[k[0]] for k in paths})
+    path = {k: (sum(v) + b * host[k[0]]) / (len(v) + b) for k, v in paths.items()}
+    logit = lambda p: np.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    got = {r.doc_id: r for r in query(spark, "op6_quality_classifier")}
+    assert got.keys() == e.keys()
+    for r in rows:
+        q = 1 / (1 + np.exp(-(logit(e[r.doc_id]) + logit(path[r.source, r.lang]) - logit(mean))))
+        x = got[r.doc_id]
+        assert np.allclose([x.evidence, x.host_quality, x.path_quality, x.quality], [e[r.doc_id], host[r.source], path[r.source, r.lang], q], atol=1e-5) and (x.good == (q >= 0.4) or abs(q - 0.4) < 1e-5)
+
+
 def test_quality_shrinks_sparse_sites(spark):
     """A site of one poor page moves little from its prior, one of many poor pages moves far."""
     rows = [("big", "p", 0.1)] * 400 + [("small", "p", 0.1)] + [("good", "p", 0.95)] * 2000 + [(None, None, 0.9)] * 5

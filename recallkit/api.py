@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallkit.config import DEFAULT, Settings
@@ -26,6 +27,9 @@ RELATIONS = "relation_id long, src_entity_id long, rel_type string, dst_entity_i
 HISTORY = "channel_id string, ts timestamp, seq long, role string, author string, text string"
 SCHEMAS = {"facts": FACTS, "edges": EDGES, "entities": ENTITIES, "aliases": ALIASES, "relations": RELATIONS, "history": HISTORY}
 
+#: A column of a text column; what a model would answer.
+Rewriter = Callable[[Column], Column]
+
 
 @dataclass
 class Memory:
@@ -126,9 +130,26 @@ class Memory:
         hits = self.search_memories(variants, now, limit).join(variants.select("query_id", "question", "variant_ord"), "query_id")
         return search.merge_lists(hits.select("question", F.col("variant_ord").alias("list_ord"), "fact_id", "memory", "score", F.col("rank").alias("pos")), limit, "question")
 
-    def search_memories_smart(self, queries: DataFrame, now: int, limit: int = 5) -> DataFrame:
+    def variants_of(self, queries: DataFrame, rewriters: list[Rewriter], embed: Rewriter) -> DataFrame:
+        """Other forms of each question for `search_memories_smart`: query_id, variant_ord, q, terms. A rewriter makes a string or an array of strings from a text column (null or
+        empty: none, as when no model answers); embed makes the vector."""
+        rows = queries.select("query_id", "text", *[f(F.col("text")).alias(f"v{k}") for k, f in enumerate(rewriters)])
+        forms = search.expand_queries(rows, ["text", *[f"v{k}" for k in range(len(rewriters))]]).where("variant_ord > 0")
+        return forms.select("query_id", "variant_ord", embed(F.col("variant")).alias("q"), F.slice(search.tokens(F.col("variant")), 1, 10).alias("terms"))
+
+    def search_memories_smart(
+        self, queries: DataFrame, now: int, limit: int = 5, include_core: bool = True, variants: DataFrame | None = None,
+        primed: DataFrame | None = None, reranker: recall.Reranker | None = None, reinforce: bool = False,
+    ) -> DataFrame:
+        """The whole recall of `recall.smart`; with reinforce, what was found by search is stored as recalled."""
         asked = queries.withColumn("terms", F.slice(search.tokens(F.col("text")), 1, 10))
-        return recall.smart(asked, self.table("facts"), self.table("edges"), now, limit, self.settings)
+        facts, edges = self.table("facts"), self.table("edges")
+        found = recall.smart_recall(asked, facts, edges, now, limit, self.settings, variants, primed, reranker)
+        out = recall.smart(asked, facts, edges, now, limit, self.settings, include_core, found)
+        if reinforce:
+            out = materialize(out)
+            self.reinforce_recalled(found.recalled(), now)
+        return out
 
     def reinforce_recalled(self, hits: DataFrame, now: int) -> DataFrame:
         return self.store.write("facts", materialize(ingest.reinforce_recalled(self.table("facts"), filters.countable_recall(hits), now, self.settings)))

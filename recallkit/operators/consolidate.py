@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recallkit.config import DEFAULT, Settings
 from recallkit.functions import memory_math as M
+from recallkit.operators.components import components
 from recallkit.operators.filters import gist_exempt, is_active, schema_eligible
-from recallkit.session import materialize
 
 
 def pair_turns(lines: DataFrame, channel: str = "channel_id", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -100,14 +100,6 @@ def schemas(facts: DataFrame, edges: DataFrame, entities: DataFrame, s: Settings
 
 
 def mergeable_groups(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
-    """Connected components of judged pairs (a, b): each node's least member. Rounds of minimum labels with pointer jumping, each written to the shared folder."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = materialize(nodes.select(F.col(key).alias("id"), F.col(key).alias("label")))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("_l"))
-        hooked = labels.join(near, F.col("id") == F.col("a"), "left").select("id", "label", F.least("label", F.coalesce("_l", "label")).alias("_new"))
-        up = labels.select(F.col("id").alias("_i"), F.col("label").alias("_up"))
-        moved = materialize(hooked.join(up, F.col("_new") == F.col("_i"), "left").select("id", F.least("_new", F.coalesce("_up", "_new")).alias("label"), (F.least("_new", F.coalesce("_up", "_new")) != F.col("label")).alias("moved")))
-        labels = moved.select("id", "label")
-        if moved.where("moved").isEmpty():
-            return labels
+    """Connected components of judged pairs (a, b): each node's (id) least member (label); nodes without pairs are their own."""
+    found = components(edges)
+    return nodes.select(F.col(key).alias("id")).join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("label"))

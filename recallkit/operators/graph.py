@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recallkit.config import DEFAULT, Settings
 from recallkit.functions import memory_math as M
 from recallkit.functions import text as T
-from recallkit.operators.filters import is_valid
+from recallkit.operators.filters import in_scope, is_valid
 
 
 def fact_entities(edges: DataFrame, entities: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def co_occurrence(edges: DataFrame, limit: int = 10, of: DataFrame | None = None
     return weighted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def related_facts(edges: DataFrame, wanted: DataFrame, limit: int = 20, exclude: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
-    """The newest facts of each wanted (key.., entity_id), facts in exclude (key.., fact_id) left out before the cut."""
+def related_facts(edges: DataFrame, wanted: DataFrame, limit: int = 20, exclude: DataFrame | None = None, by: list[str] | None = None, match: tuple[str, ...] = ("entity_id",)) -> DataFrame:
+    """The newest facts of each wanted (key.., entity_id), facts in exclude (key.., fact_id) left out before the cut. match: columns that edge and wanted row have in common."""
     keys = by or []
-    rows = edges.groupBy("entity_id", "fact_id").agg(F.max("created_at").alias("created_at")).join(wanted, "entity_id")
+    rows = edges.groupBy(*match, "fact_id").agg(F.max("created_at").alias("created_at")).join(wanted, list(match))
     if exclude is not None:
         rows = rows.join(exclude, [*keys, "fact_id"], "left_anti")
     order = Window.partitionBy(*keys, "entity_id").orderBy(F.desc("created_at"), "fact_id")
@@ -134,20 +134,23 @@ def spread(seeds: DataFrame, neighbours: DataFrame, primed_entities: DataFrame |
     return seen
 
 
-def expand_siblings(hits: DataFrame, edges: DataFrame, neighbours: DataFrame, facts: DataFrame, now: int, primed_entities: DataFrame | None = None, seeds: int = 3, per_entity: int = 5, s: Settings = DEFAULT) -> DataFrame:
-    """Facts that share entities with the first hits of each query, or with their neighbours: query_id, fact_id, activation, score.
+def expand_siblings(hits: DataFrame, edges: DataFrame, neighbours: DataFrame, facts: DataFrame, asked: DataFrame, now: int, primed_entities: DataFrame | None = None, seeds: int = 3, per_entity: int = 5, s: Settings = DEFAULT) -> DataFrame:
+    """Facts of the asking user that share entities with the first hits of each query, or with their neighbours: query_id, fact_id, activation, score.
 
-    hits: query_id, fact_id, score, rank. Facts among the hits and archived ones are left out.
+    hits: query_id, fact_id, score, rank; asked: query_id, user_id, channel_id. Facts among the hits, archived and out-of-scope ones are left out, those of
+    other users before the cut per entity.
     """
     first = hits.where(F.col("rank") <= seeds).select("query_id", "fact_id", M.seed_activation(F.col("score")).alias("activation"))
     links = edges.select("fact_id", "entity_id").distinct()
     start = first.join(links, "fact_id").select("query_id", "entity_id", "activation")
     near = neighbours.where(F.col("rank") <= per_entity).select("entity_id", "other_id", "weight")
-    active = spread(start, near, primed_entities, s)
-    found = related_facts(edges, active, per_entity, hits.select("query_id", "fact_id").distinct(), ["query_id"])
+    active = spread(start, near, primed_entities, s).join(asked.select("query_id", "user_id"), "query_id")
+    owned = edges.join(facts.select("fact_id", "user_id"), "fact_id")
+    found = related_facts(owned, active, per_entity, hits.select("query_id", "fact_id").distinct(), ["query_id"], ("entity_id", "user_id"))
     best = found.groupBy("query_id", "fact_id").agg(F.max("activation").alias("activation"))
-    valid = facts.where(is_valid(F.col("valid_to"), now, s)).select("fact_id")
-    return best.join(valid, "fact_id").select("query_id", "fact_id", "activation", M.sibling_distance(F.col("activation"), s).alias("score"))
+    known = best.join(facts.select("fact_id", "valid_to", "scope"), "fact_id").join(asked.select("query_id", "channel_id"), "query_id")
+    shown = known.where(is_valid(F.col("valid_to"), now, s) & in_scope(F.col("scope"), F.col("channel_id"), s))
+    return shown.select("query_id", "fact_id", "activation", M.sibling_distance(F.col("activation"), s).alias("score"))
 
 
 def relations_of(relations: DataFrame, now: int, only_valid: bool = True, limit: int = 50, side: str = "any") -> DataFrame:

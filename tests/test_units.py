@@ -257,3 +257,57 @@ def test_line_vectors_and_alias_text(spark):
     got = extraction.line_vectors(rows, lambda t: F.array(F.length(t).cast("float"))).collect()
     assert [(r.author, r.embedding) for r in got] == [("b", [5.0])]
     assert one(spark, T.alias_resolution_text(F.create_map(F.lit("dad"), F.lit("bob"), F.lit("boss"), F.lit("ann"))).alias("t"))["t"] == "- boss = ann\n- dad = bob"
+
+
+def test_components_odd(spark):
+    """Null ends, repeated edges, loops, and no edges at all."""
+    from recallkit.operators.components import components
+
+    schema = "a long, b long"
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (5, 5), (None, 3), (3, None), (None, None), (9, 2), (7, 8)], schema)
+    assert {(r.node, r.root) for r in components(edges).collect()} == {(2, 1), (9, 1), (8, 7)}
+    assert components(spark.createDataFrame([], schema)).count() == 0
+
+
+def _facts_of_two_users(spark):
+    from recallkit.api import FACTS
+
+    rows = [("a1", "ann", "green tea in Oslo", [1.0, 0.0], 0), ("a2", "ann", "green tea at noon", [0.9, 0.1], 0), ("b1", "bob", "green tea in Oslo daily", [1.0, 0.0], 0), ("b2", "bob", "bob likes green tea", [1.0, 0.01], 1)]
+    df = spark.createDataFrame([(i, u, m, v, t) for i, u, m, v, t in rows], "fact_id string, user_id string, memory string, embedding array<float>, tier int")
+    full = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], FACTS).schema if f.name not in df.columns}
+    return df.withColumns(full).withColumns({"ts": F.lit(100).cast("long"), "importance": F.lit(5), "mention_count": F.lit(1), "recall_count": F.lit(0), "episode_id": F.lit("e")})
+
+
+def _one_query(spark, q=(1.0, 0.0)):
+    return spark.createDataFrame([(1, "ann", "c", list(q), ["green", "tea"])], "query_id int, user_id string, channel_id string, q array<float>, terms array<string>")
+
+
+def test_recall_stays_with_the_asking_user(spark):
+    from recallkit.operators import recall
+
+    facts, q = _facts_of_two_users(spark), _one_query(spark)
+    edges = spark.createDataFrame([(f, 1, 10) for f in ("a1", "a2", "b1", "b2")], "fact_id string, entity_id long, created_at long")
+    assert {r.fact_id for r in recall.hybrid(q, facts, 1000).collect()} == {"a1", "a2"}
+    all_picked = lambda hits: hits.select("query_id", F.col("rank").alias("pick_ord"), F.col("rank").alias("pick"))
+    for options in ({}, {"reranker": all_picked}, {"include_core": False}):
+        rows = recall.smart(q, facts, edges, 1000, **options).collect()
+        assert {r.fact_id for r in rows} == {"a1", "a2"}
+    plain = recall.smart(q, facts, edges, 1000, include_core=False).collect()
+    assert {r.section for r in plain} == {1}
+    # A sibling by the graph only: a third fact of ann's without words or vector in common, beside one of bob's.
+    more = facts.unionByName(facts.where("fact_id in ('a1', 'b1')").withColumns({"fact_id": F.concat("fact_id", F.lit("x")), "memory": F.lit("other words"), "embedding": F.lit(None).cast("array<float>"), "episode_id": F.lit(None).cast("string")}))
+    links = edges.unionByName(spark.createDataFrame([("a1x", 1, 99), ("b1x", 1, 99)], edges.schema))
+    assert {r.fact_id for r in recall.smart(q, more, links, 1000, include_core=False).collect()} == {"a1", "a2", "a1x"}
+
+
+def test_variants_and_confidence_gate(spark):
+    from recallkit.operators import recall
+
+    facts, q = _facts_of_two_users(spark), _one_query(spark, (0.0, -1.0)).withColumn("terms", F.array().cast("array<string>"))
+    edges = spark.createDataFrame([], "fact_id string, entity_id long, created_at long")
+    s = Settings(fok_enabled=True, fok_no_memory=0.9, relevance_max_distance=1.05)
+    rows = recall.smart(q, facts, edges, 1000, s=s, include_core=True).orderBy("pos").collect()
+    assert [r.section for r in rows] == [0, 0, 3] and rows[-1].fact_id is None and rows[-1].status == "no_memory" and rows[-1].score >= 0.9
+    variants = spark.createDataFrame([(1, 1, [1.0, 0.0], ["oslo"])], "query_id int, variant_ord int, q array<float>, terms array<string>")
+    found = recall.smart_recall(q, facts, edges, 1000, s=s, variants=variants)
+    assert found.status.first().status == "confident" and {r.fact_id for r in found.recalled().collect()} == {"a1", "a2"}

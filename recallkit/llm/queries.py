@@ -68,7 +68,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return nearjoin.near_classes(table(spark, sf_dir, "documents"))
+    return nearjoin.near_classes(table(spark, sf_dir, "documents")).drop("text_hash", "first")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

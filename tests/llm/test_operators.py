@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H
 
-from recallkit.llm import bpe, components, exactsearch, linededup, lmscore, nearjoin, packing, qualityclassifier, qualityrules, queries, sharding, textvec, toxicity
+from recallkit.operators import components
+from recallkit.llm import bpe, exactsearch, linededup, lmscore, nearjoin, packing, qualityclassifier, qualityrules, queries, sharding, textvec, toxicity
 
 DIR = "/root/testdata/sf0.001"
 RANKS, WORDS = P.path(queries.BYTE_RANKS), P.path(queries.WORD_FILE)
@@ -101,9 +102,59 @@ def test_near_odd(spark):
     assert nearjoin.near_classes(H.empty(spark)).count() == 0
 
 
-def test_forest_recall():
+def test_forest_recall(spark):
+    """Pairs just above the threshold, beside a crowd of near copies: every link is found, however soon nodes count as crowded."""
     f = nearjoin.Forest()
-    assert f.prefix() < f.depth and f.meet(f.prefix()) >= f.target > f.meet(f.prefix() + 1)
+    assert f.floor <= f.prefix() < f.depth and f.trees * f.weight(f.prefix()) >= f.need > f.trees * f.weight(f.prefix() + 1)
+    texts = {}
+    for i in range(250):
+        w = H.sentence(i, 60).split()
+        texts[2 * i] = " ".join(w)
+        w[20 + i % 20] = "other"
+        texts[2 * i + 1] = " ".join(w)
+    crowd = H.sentence(999, 90).split()
+    texts |= {1000 + i: " ".join([*crowd[:40], f"x{i}", *crowd[40:]]) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    classes, links = H.near(texts)
+    assert sum(links.values()) >= 500 + 80 * 79
+    for forest in (f, nearjoin.Forest(wide=4)):
+        got = {r.doc_id: r for r in nearjoin.near_classes(df, forest).collect()}
+        assert sum(got[i].n_links for i in texts) >= 0.999 * sum(links.values()) and all(got[i].n_links <= links[i] for i in texts)
+        assert sum(got[i].class_id == classes[i] for i in texts) >= 0.995 * len(texts)
+
+
+def test_forest_prefixes_are_shortened_by_what_is_crowded(spark):
+    """Classes without company stop at the uniform prefix; a crowd's trees stay longer as far as the target allows; nodes cross the borders of ranges."""
+    f = nearjoin.Forest()
+    rng = np.random.default_rng(1)
+    sigs = [rng.integers(0, 2**16, f.trees * f.depth).astype("<u2") for _ in range(40)]
+    crowd = rng.integers(0, 2**16, f.trees * f.depth).astype("<u2")
+    for k in range(300):  # all share five values of the first three trees, nothing else
+        s = rng.integers(0, 2**16, f.trees * f.depth).astype("<u2")
+        for t in range(3):
+            s[t * f.depth : t * f.depth + 5] = crowd[t * f.depth : t * f.depth + 5]
+        sigs.append(s)
+    pair = sigs[0].copy()
+    pair[[f.depth * t + 5 for t in range(f.trees)]] = 1  # shares five values with the first in every tree
+    rows = [(i, s.tobytes(), 9) for i, s in enumerate([*sigs, pair])]
+    classes = spark.createDataFrame(rows, "rep long, sig binary, n int").repartition(4)
+    got = [(r.rep, r.node) for r in nearjoin.opened(nearjoin.tries(classes, f).cache(), f).collect()]
+    size = {n: sum(m == n for _, m in got) for _, n in got}
+    assert sum(size[n] == 2 for r, n in got if r == 0) == f.trees  # the pair meets in every tree
+    assert max(size.values()) < 300  # no node of the crowd is opened: 17 trees at the floor reach the target
+    assert {0, 340} <= {r for r, n in got if size[n] > 1} and sum(size[n] > 1 for r, n in got if r not in (0, 340)) < 20  # some of the crowd agree in a sixth value by chance
+    few = nearjoin.Forest(trees=4, target=0.8)
+    got = [(r.rep, r.node) for r in nearjoin.opened(nearjoin.tries(classes, few).cache(), few).collect()]
+    assert max(sum(m == n for _, m in got) for _, n in got) == 300  # three of four trees crowded: the target needs them
+
+
+def test_near_rows_without_id_or_with_one_id_for_two_texts(spark):
+    a, b = H.sentence(1, 80), H.sentence(2, 80)
+    rows = [(None, a + " x"), (None, a + " y"), (5, a), (1, a + " z"), (1, b), (3, b + " x"), (None, H.sentence(4, 50)), (None, H.sentence(4, 50) + " q"), (5, a)]
+    got = nearjoin.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = sorted((r.doc_id or 0, r.n_links, r.class_id or 0) for r in got)
+    assert links == sorted([(0, 4, 1), (0, 4, 1), (5, 4, 1), (5, 4, 1), (1, 4, 1), (1, 1, 1), (3, 1, 1), (0, 1, 0), (0, 1, 0)])
+    assert sorted((r.doc_id or 0) for r in got if r.first) == [0, 1, 1]
 
 
 def test_components(spark):

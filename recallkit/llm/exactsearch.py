@@ -5,30 +5,29 @@ x, the triangle inequality gives |q - x| >= max over pivots p of |d(q, p) - d(x,
 q.x <= (|q|^2 + |x|^2 - bound^2) / 2. Candidates are evaluated in the order of these upper bounds, and a query
 stops when no bound left reaches its k-th best score: the result is exact.
 
-Queries go out in blocks of a fixed number of rows, each block broadcast (its size is bounded by `block` and the
-dimension) against all candidates; each task keeps k rows per query and one aggregation merges them.
+It is one job: queries are dealt into blocks of `block` rows and candidates into shares of `share` rows, by hash; each block meets each share in one
+task, which holds just these two, keeps k rows per query, and one aggregation merges them. So memory is bounded by the parameters, and what moves is
+(blocks) times the candidates and (shares) times the queries, neither of which passes through the driver.
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinite component take no part; vectors of
 different lengths have no score; ties go to the smaller vec_id; repeated rows each count as candidates, but never a
-query's own vec_id, and ask once; fewer candidates than k give all; an empty table gives no rows. Components above 2**20 would leave exact
+query's own vec_id, and ask once; fewer candidates than k give all; vectors
+of a length that the sample for the pivots doesn't hold have bounds by their norms only; an empty table gives no rows. Components above 2**20 would leave exact
 64-bit floats and are computed with whole numbers of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallkit.session import materialize
-
 EXACT = float(2**20)
-#: Blocks of queries in one plan.
-AT_ONCE = 16
 
 
 def pivot_table(df: DataFrame, vec_id: str = "vec_id", vector: str = "vector", pivots: int = 48, sample: int = 2000) -> DataFrame:
@@ -82,12 +81,14 @@ class _Block:
         for i in range(len(self.ids)):
             bound = np.abs(d - self.d[i]).max(1)
             upper = (norm + self.sq[i] - bound**2) / 2 + 1e-6 * (norm + self.sq[i]) + 1  # above all rounding
-            order = np.argsort(-upper)
-            best = self.best[i]
-            for a in range(0, len(order), chunk):
-                if len(best) == self.k and upper[order[a]] < -best[-1][0]:
-                    break
-                part = order[a : a + chunk]
+            best, left = self.best[i], np.arange(len(ids))
+            while len(left):
+                if len(best) == self.k:
+                    left = left[upper[left] >= -best[-1][0]]  # the others are out for good
+                # The next in the order of the bounds.
+                first = np.argpartition(-upper[left], chunk)[:chunk] if len(left) > chunk else np.arange(len(left))
+                part = left[first]
+                left = np.delete(left, first)
                 scores, names = _dot(x[part], self.q[i]), ids[part]
                 keep = names != self.ids[i]
                 if len(best) == self.k:
@@ -99,39 +100,35 @@ class _Block:
             self.best[i] = best
 
 
-def top_k(table: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+def _matrices(table: pa.Table, kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the rows of one kind: ids, vectors and distances to pivots, for each length of vectors."""
+    rows = table.filter(pc.equal(table.column("kind"), kind))
+    sizes = pc.list_value_length(rows.column("vector")).to_numpy()
+    for n in np.unique(sizes).tolist():
+        own = rows.filter(pa.array(sizes == n)).combine_chunks()
+        flat = lambda c, own=own: pc.list_flatten(own.column(c)).to_numpy().reshape(own.num_rows, -1)
+        yield own.column("vec_id").to_numpy(), flat("vector"), flat("to_pivots")
+
+
+def top_k(table: DataFrame, queries: DataFrame, k: int = 5, block: int = 4096, share: int = 16384) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for the queries, rows of the same pivot table.
 
-    table should be materialized: each block of queries reads it once.
+    table should be materialized: it is counted and read once.
     """
-    parts = []
     queries = queries.dropDuplicates(["vec_id"])
-    marked = materialize(queries.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // (block // 2)))))))
-    names = [r["_part"] for r in marked.groupBy("_part").agg(F.count(F.lit(1))).orderBy("_part").collect()]  # one per block
-    for name in names:
-        rows = marked.where(F.col("_part") == name).orderBy("vec_id").toArrow()  # about block / 2 rows
-        ids = rows.column("vec_id").to_numpy()
-        vectors = [np.array(v) for v in rows.column("vector").to_pylist()]
-        pivots = [np.array(v) for v in rows.column("to_pivots").to_pylist()]
-        sets = {}
-        for n in {len(v) for v in vectors}:
-            own = [i for i, v in enumerate(vectors) if len(v) == n]
-            sets[n] = (ids[own], np.array([vectors[i] for i in own]), np.array([pivots[i] for i in own]))
-
-        def scan(batches: Iterator[pd.DataFrame], sets=sets) -> Iterator[pd.DataFrame]:
-            blocks = {n: _Block(*s, k) for n, s in sets.items()}
-            for pdf in batches:
-                for n, part in pdf.groupby(pdf["vector"].map(len)):
-                    if n in blocks:
-                        blocks[n].add(part["vec_id"].to_numpy(), np.stack(part["vector"]), np.stack(part["to_pivots"]))
-            out = [(q, v, -s) for b in blocks.values() for q, best in zip(b.ids.tolist(), b.best, strict=True) for s, v in best]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-        parts.append(table.mapInPandas(scan, "query_id long, vec_id long, score long"))
-        if len(parts) > AT_ONCE:  # plans stay small: what is done so far becomes one part
-            parts = [materialize(reduce(DataFrame.unionByName, parts))]
-    if not parts:
-        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = reduce(DataFrame.unionByName, parts)
+    blocks, shares = max(1, -(-queries.count() // block)), max(1, -(-table.count() // share))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select(F.lit("q").alias("kind"), "vec_id", "vector", "to_pivots", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("qb"), every(shares).alias("cs"))
+    known = table.select(F.lit("c").alias("kind"), "vec_id", "vector", "to_pivots", every(blocks).alias("qb"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shares)).cast("int").alias("cs"))
+
+    def meet(tile: pa.Table) -> pa.Table:
+        asked_of = {q.shape[1]: _Block(ids, q, d, k) for ids, q, d in _matrices(tile, "q")}
+        for ids, x, d in _matrices(tile, "c"):
+            if x.shape[1] in asked_of:
+                asked_of[x.shape[1]].add(ids, x, d)
+        out = [(q, v, -s) for b in asked_of.values() for q, best in zip(b.ids.tolist(), b.best, strict=True) for s, v in best]
+        return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+
+    found = asked.unionByName(known).groupBy("qb", "cs").applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -443,7 +443,7 @@ def test_search_many_blocks(spark):
     x = rng.integers(-40, 40, (300, 6)).astype(float)
     t = exactsearch.pivot_table(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>"), pivots=8).cache()
     got = {}
-    for r in exactsearch.top_k(t, t.where("vec_id % 2 = 0"), 4, block=40).orderBy("query_id", "rank").collect():
+    for r in exactsearch.top_k(t, t.where("vec_id % 2 = 0"), 4, block=40, share=70).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     for q in range(0, 300, 2):
         s = (x @ x[q]).astype(int)
@@ -608,76 +608,101 @@ def test_quality_odd(spark):
     assert all(r.good for r in qualityclassifier.judge(H.odd(spark), blank).collect())
 
 
-def test_lm_counts_all_windows(spark):
-    df = H.odd(spark)
-    tokens, table = lmscore.train(df, common=8)
-    rows = df.collect()
-    counts = lmscore.window_counts(df, tokens, "text").agg(F.sum("n").alias("n")).first().n
-    assert counts == sum(len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for r in rows)
-    assert np.allclose(np.exp(table).sum(2), 1, atol=1e-4)
-
-
-def test_lm_scores(spark):
-    """Sums of conditional log-probabilities, token by token."""
-    import pyarrow as pa
-
-    df = H.odd(spark)
-    tokens, table = lmscore.train(df, common=8)
-    for r in lmscore.score(df, tokens, table).collect():
-        t, _ = tokens.of(*lmscore._both(pa.array([r.text])))
-        padded = [0, *t.tolist(), 0]
-        want = sum(float(table[padded[k - 1], padded[k + 1], padded[k]]) for k in range(1, len(padded) - 1))
-        assert r.n_tokens == len(t) and r.log_likelihood == pytest.approx(want, rel=1e-4, abs=1e-3) and (r.perplexity is None) == (len(t) == 0)
-    assert lmscore.score(H.empty(spark), *lmscore.train(H.empty(spark))).count() == 0
-
-
-def test_lm_prefers_likely_order(spark):
-    text = "the cat sat on the mat and the dog sat on the rug . " * 30
-    df = spark.createDataFrame([(0, text), (1, " ".join(sorted(text.split(), key=lambda w: hash((w, 3)))))], "doc_id long, text string")
-    tokens, table = lmscore.train(spark.createDataFrame([(text,)] * 5, "text string"), common=12)
-    a, b = lmscore.score(df, tokens, table).orderBy("doc_id").collect()
-    assert a.mean_log_probability > b.mean_log_probability + 0.5
+def prose(n, seed=0):
+    """Texts in which a word depends on its neighbours: chains through pairs of a few words, with rare words between them."""
+    rng = random.Random(seed)
+    follow = {k: [(5 * k + j) % 40 for j in (1, 2, 3)] for k in range(40)}
+    out = []
+    for i in range(n):
+        k, words = rng.randrange(40), []
+        for _ in range(80):
+            words.append(f"rare{seed}x{rng.randrange(10**9)}" if rng.random() < 0.2 else f"w{k}")
+            k = rng.choice(follow[k])
+        out.append((i, " ".join(words)))
+    return out
 
 
-def test_lm_every_word_has_its_own_probability(spark):
-    """Words beyond the common ones and neighbours two words away move the score; sums by brute force."""
+def test_lm_gradients():
+    """Of all parameters against differences of the loss, and a softmax in two levels that sums to 1."""
+    rng = np.random.default_rng(4)
+    net = lmscore.Net(100, width=5)
+    for k in net.NAMES:
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    near, t = rng.integers(0, 165, (30, 4)), rng.integers(1, 165, 30)
+    every = np.arange(1, 165)
+    assert np.exp(net.run(np.repeat(near[:1], 164, 0), every)[0]).sum() == pytest.approx(1, abs=1e-4)
+    _, g = net.run(near, t, True)
+    embed = np.zeros_like(net.embed)
+    for side in range(4):
+        np.add.at(embed[side], g["near"][:, side], g["hidden"])
+    exact = lambda: -sum(float(x) for x in net.run(near, t)[0].astype(np.float64))
+    for k in net.NAMES:
+        values, d = getattr(net, k), embed if k == "embed" else g[k]
+        for at in rng.choice(values.size, min(12, values.size), replace=False):
+            i = np.unravel_index(int(at), values.shape)
+            old = values[i]
+            if k == "member_bias" and old < -15:
+                continue  # places without a token
+            up, down = [], []
+            for step, keep in ((1e-2, up), (-1e-2, down)):
+                values[i] = old + step
+                keep.append(exact())
+            values[i] = old
+            assert (up[0] - down[0]) / 2e-2 == pytest.approx(float(d[i]), rel=0.02, abs=2e-3), (k, i)
+
+
+def test_lm_learns_from_both_sides(spark):
+    """Held-out texts are likelier by the trained network than by the frequencies it starts from; twice the corpus gives twice the windows."""
+    df = spark.createDataFrame(prose(400), "_row long, text string").repartition(3)
+    tokens, counts, sizes = lmscore.vocabulary(lmscore.word_counts(df, "text").cache(), 2000)
+    assert len(tokens.words) == 40 and counts.sum() == 400 * 80 and sizes.max() > 1000
+    new = lmscore.encoded(spark.createDataFrame(prose(60, 1), "_row long, text string"), tokens)
+    score = lambda net: sum(r.l for r in lmscore.net_sums(new, net).collect()) / (60 * 80)
+    start = score(lmscore.Net(40, counts=counts))
+    trained = score(lmscore.train(lmscore.encoded(df, tokens).cache(), lmscore.Net(40, counts=counts), every=1, batch=128))
+    assert trained > start + 0.3
+
+
+def test_lm_query_against_brute_force(spark):
+    """Every column from the network's own log-probabilities, token by token, and plain counts of words between neighbours."""
     import math
     from collections import Counter
 
     import pyarrow as pa
 
-    fill = [(100 + k, " ".join(f"c{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(70))) for k in range(12)]
-    texts = [(k, "alpha bravo delta gamma omega") for k in range(6)] + [(6, "alpha bravo delta gamma qxzvw"), (7, "alpha bravo gamma delta omega"), (8, None)]
-    df = spark.createDataFrame(texts + fill, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r for r in lmscore.pseudo_likelihood(df).collect()}
-    assert len(got) == len(texts) + len(fill) and got[8].n_tokens == 0 and got[8].log_likelihood == 0 and got[8].perplexity is None
-    assert got[0].log_likelihood > got[6].log_likelihood + 0.5 and got[0].log_likelihood > got[7].log_likelihood + 0.02
-
-    docs = dict(texts + fill)
-    tokens, table = lmscore.train(df)
-    shared = {r.doc_id: r.log_likelihood for r in lmscore.score(df, tokens, table).collect()}
-    seen, words, pairs, beside, sizes = [], Counter(), Counter(), Counter(), Counter()
-    for i, t in docs.items():
-        column = pa.array([t])
-        own, lower = lmscore._both(column)
-        t, _ = tokens.of(own, lower)
-        g = [1 + int(x) % 63 for x in lower.hash(*lower.words()[:2])]
-        names = (docs[i] or "").split()
-        for k, c in enumerate(t.tolist()):
-            if c <= lmscore.SHAPES:
-                near = [g[k + x] if 0 <= k + x < len(g) else 0 for x in lmscore.SIDES]
-                seen.append((i, names[k], c, near))
-                sizes[c] += not words[names[k]]
-                words[names[k]] += 1
-                for side, x in enumerate(near):
-                    pairs[names[k], side, x] += 1
-                    beside[c, side, x] += 1
-    totals = Counter(c for _, _, c, _ in seen)
-    for i, w, c, near in seen:
-        share = (words[w] - 1 + 0.5) / (totals[c] - 1 + 0.5 * (sizes[c] + 1))
-        shared[i] += math.log(sum(weight * (pairs[w, s, x] - 1 + 20 * share) / (beside[c, s, x] - 1 + 20) for (s, x), weight in zip(enumerate(near), lmscore.SIDES.values(), strict=True)))
-    for i in docs:
-        assert got[i].log_likelihood == pytest.approx(shared[i], rel=1e-4, abs=1e-3)
+    texts = [(i, t) for i, t in prose(40)] + [(100, prose(1)[0][1]), (101, None), (102, ""), (103, "one"), (103, "one"), (104, "Ünder 12,5 % ...")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = lmscore.pseudo_likelihood(df, most=30).collect()
+    rows = df.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    tokens, counts, sizes = lmscore.vocabulary(lmscore.word_counts(rows, "text").cache(), 30)
+    net = lmscore.train(lmscore.encoded(rows, tokens).cache(), lmscore.Net(len(tokens.words), counts=counts))
+    seen, total, n = [], {}, {}
+    for text in [t or "" for _, t in texts]:
+        t, first, _ = tokens.read(*lmscore._both(pa.array([text])))
+        padded, words = [0, 0, *t.tolist(), 0, 0], ["", *text.split(), ""]
+        logs = [float(net.run(np.array([[padded[k + 2 + s] for s in lmscore.SIDES]]), t[k : k + 1])[0][0]) for k in range(len(t))]
+        total[text], n[text] = sum(logs), len(t)
+        seen += [(text, words[k].lower(), words[k + 1].lower(), words[k + 2].lower(), c) for k, c in enumerate(t.tolist()) if c <= lmscore.SHAPES]
+    there, times = Counter((a, b, c) for _, a, _, b, c in seen), Counter((a, w, b, c) for _, a, w, b, c in seen)
+    repeats = Counter(t or "" for _, t in texts)
+    for text, a, w, b, c in seen:
+        p = (times[a, w, b, c] - 1 + 1 / sizes[c - 1]) / (there[a, b, c] - 1 + 1)
+        total[text] += math.log(p) / repeats[text]
+    by = {}
+    for r, t in [(r, dict(texts)[r.doc_id] or "") for r in got]:
+        by.setdefault(r.doc_id, r)
+        assert r.n_tokens == n[t] and r.log_likelihood == pytest.approx(total[t], rel=2e-3, abs=0.05) and (r.perplexity is None) == (n[t] == 0)
+    # A text that occurs twice in the corpus, under two ids, comes apart from all others.
+    plain = [by[i].mean_log_probability for i in range(1, 40)]
+    assert min(by[0].mean_log_probability, by[100].mean_log_probability) > max(plain) + 0.5
+
+
+def test_lm_odd(spark):
+    got = lmscore.pseudo_likelihood(H.odd(spark)).collect()
+    assert len(got) == len(H.odd_rows()) and all((r.perplexity is None) == (r.n_tokens == 0) and r.log_likelihood <= 0 for r in got)
+    for r in got:
+        assert r.n_tokens == len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", r.text or "") if w])
+    assert lmscore.pseudo_likelihood(H.empty(spark)).count() == 0
 
 
 def test_texts_slices_and_offsets():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from recallkit.functions import text as T
 from recallkit.functions import vocabulary as V
 from recallkit.operators import consolidate, filters, graph, ingest, recall, search
 from recallkit.session import materialize
-from recallkit.sources.store import Store
+from recallkit.sources.keywords import KeywordIndex, Tokenizer
+from recallkit.sources.store import ConflictError, Store
 
 FACTS = (
     "fact_id string, user_id string, memory string, embedding array<float>, ts long, category string, subcategory string, importance int, tier int, tags array<string>, attribute string, "
@@ -25,7 +27,18 @@ ENTITIES = "entity_id long, canonical_name string, type string, user_id string,
 ALIASES = "entity_id long, alias string"
 RELATIONS = "relation_id long, src_entity_id long, rel_type string, dst_entity_id long, user_id string, created_at long, valid_from long, valid_to long, source_fact_id string"
 HISTORY = "channel_id string, ts timestamp, seq long, role string, author string, text string"
-SCHEMAS = {"facts": FACTS, "edges": EDGES, "entities": ENTITIES, "aliases": ALIASES, "relations": RELATIONS, "history": HISTORY}
+POSTINGS = "fact_id string, scope string, dl int, postings array<struct<term:string,tf:bigint>>"
+LEDGER = "fact_id string, user_id string, attribute string, value_text string, created_at long"
+CURSORS = "channel_id string, ts timestamp, seq long"
+SCHEMAS = {"facts": FACTS, "edges": EDGES, "entities": ENTITIES, "aliases": ALIASES, "relations": RELATIONS, "history": HISTORY, "postings": POSTINGS, "ledger": LEDGER, "cursors": CURSORS}
+#: What rows of a table are told apart by, where it isn't fact_id.
+KEYS = {"entities": "entity_id", "aliases": "entity_id", "relations": "relation_id", "history": "channel_id", "cursors": "channel_id"}
+
+def new_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Transcript lines that are not known yet, each (channel, time, role, text) once."""
+    keys = ["channel_id", "ts", "role", "text"]
+    return lines.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
+
 
 #: A column of a text column; what a model would answer.
 Rewriter = Callable[[Column], Column]
@@ -38,12 +51,17 @@ class Memory:
     settings: Settings = DEFAULT
     judge: ingest.Judge = field(default_factory=ingest.word_judge)
     conflict: ingest.Judge = ingest.no_conflict
+    tokenize: Tokenizer = search.tokens
 
     def __post_init__(self) -> None:
         self.store = Store(self.spark, self.path)
+        self.keywords = KeywordIndex(self.store, tokenize=self.tokenize)
         for name, schema in SCHEMAS.items():
             if not self.store.exists(name):
-                self.store.write(name, self.spark.createDataFrame([], schema))
+                try:
+                    self.store.write(name, self.spark.createDataFrame([], schema), KEYS.get(name, "fact_id"), seen=0)
+                except ConflictError:  # another process has just made it
+                    continue
 
     def table(self, name: str) -> DataFrame:
         return self.store.read(name)
@@ -84,9 +102,14 @@ class Memory:
             F.col("cand_id").alias("fact_id"), "user_id", "memory", "embedding", F.col("timestamp").alias("ts"), "category", "subcategory", "importance", "tier", F.split("tags_csv", ",").alias("tags"),
             "attribute", "condition", "scope", "channel_id", "episode_id", F.lit(1).alias("mention_count"), F.lit(0).alias("recall_count"), F.array(F.lit(now).cast("long")).alias("reinforced_at"),
         )
-        again = decided.where("decision = 'duplicate'").select(F.col("existing_id").alias("fact_id"), F.lit(now).cast("long").alias("t"))
-        updated = ingest.archive(ingest.reinforce(facts, again, s), pairs, now)
-        self.store.write("facts", materialize(updated.unionByName(new, allowMissingColumns=True)))
+        new = materialize(new)
+        again = materialize(decided.where("decision = 'duplicate'").select(F.col("existing_id").alias("fact_id"), F.lit(now).cast("long").alias("t")))
+        touched = again.select("fact_id").unionByName(pairs.select(F.col("existing_id").alias("fact_id"))).distinct()
+        updated = ingest.archive(ingest.reinforce(facts.join(touched, "fact_id", "left_semi"), again, s), pairs, now)
+        rows = materialize(updated.unionByName(new, allowMissingColumns=True))
+        self.store.upsert("facts", rows)
+        self.keywords.add(new)
+        self.store.add("ledger", new.where("attribute is not null").select("fact_id", "user_id", "attribute", F.col("memory").alias("value_text"), F.col("ts").alias("created_at")))
         if "entities" in extracted.columns:
             self._link(kept, now)
         if relations is not None:
@@ -102,18 +125,40 @@ class Memory:
         asked = rows.select(F.struct("cand_id", "name").alias("query_id"), "user_id", "name")
         found = graph.find_entities(asked, entities, aliases, fuzzy=False)
         new = found.select(F.col("query_id.cand_id").alias("fact_id"), "entity_id", F.lit("mention").alias("role"), F.lit(now).cast("long").alias("created_at"))
-        self.store.write("edges", materialize(self.table("edges").unionByName(new).dropDuplicates(["fact_id", "entity_id"])))
+        known = self.table("edges").select("fact_id", "entity_id")
+        self.store.add("edges", materialize(new.dropDuplicates(["fact_id", "entity_id"]).join(known, ["fact_id", "entity_id"], "left_anti")))
 
     def _relate(self, relations: DataFrame, now: int) -> None:
         known = graph.resolve_relations(relations, self.table("entities"), self.table("aliases"))
         old = self.table("relations")
         new = graph.open_relations(old, known).withColumn("created_at", F.lit(now).cast("long"))
         new = new.withColumn("relation_id", F.shiftrightunsigned(F.xxhash64("src_entity_id", "rel_type", "dst_entity_id", "user_id", "created_at"), 1))
-        self.store.write("relations", materialize(old.unionByName(new, allowMissingColumns=True)))
+        self.store.add("relations", materialize(new))
+
+    def expire_relations(self, ended: DataFrame) -> DataFrame:
+        """Relations (relation_id, ended_at) closed, unless they are already."""
+        open_ones = self.table("relations").join(ended.select("relation_id"), "relation_id", "left_semi")
+        return self.store.upsert("relations", materialize(graph.expire_relations(open_ones, ended)))
 
     def index_lines(self, lines: DataFrame) -> DataFrame:
         """Transcript lines added, each (channel, time, role, text) once."""
-        return self.store.write("history", materialize(self.table("history").unionByName(lines).dropDuplicates(["channel_id", "ts", "role", "text"])))
+        return self.store.add("history", materialize(new_lines(lines, self.table("history"))))
+
+    def replay(self) -> DataFrame:
+        """The next turns of every channel; the cursors behind them are stored once they have been written."""
+        turns, cursors = consolidate.replay(self.table("history"), self.table("cursors"), self.settings)
+        turns, cursors = materialize(turns), materialize(cursors)
+        self.store.upsert("cursors", cursors)
+        return turns
+
+    def attribute_history(self, limit: int = 50) -> DataFrame:
+        """The newest versions of every user's attributes, each with what it replaced and what replaced it."""
+        return ingest.ledger_history(ingest.ledger(self.table("ledger")), limit)
+
+    def stats(self) -> DataFrame:
+        """Rows (kind, n): entities, edges, relations, facts, indexed facts, transcript lines, attribute versions."""
+        counts = [self.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, t in (("facts", "facts"), ("indexed", "postings"), ("lines", "history"), ("versions", "ledger"))]
+        return reduce(DataFrame.unionByName, counts, graph.stats(self.table("entities"), self.table("edges"), self.table("relations")))
 
     # Recall. queries: query_id, user_id, text, q (vector), channel_id.
 
@@ -135,16 +180,16 @@ class Memory:
         empty: none, as when no model answers); embed makes the vector."""
         rows = queries.select("query_id", "text", *[f(F.col("text")).alias(f"v{k}") for k, f in enumerate(rewriters)])
         forms = search.expand_queries(rows, ["text", *[f"v{k}" for k in range(len(rewriters))]]).where("variant_ord > 0")
-        return forms.select("query_id", "variant_ord", embed(F.col("variant")).alias("q"), F.slice(search.tokens(F.col("variant")), 1, 10).alias("terms"))
+        return forms.select("query_id", "variant_ord", embed(F.col("variant")).alias("q"), F.slice(self.tokenize(F.col("variant")), 1, 10).alias("terms"))
 
     def search_memories_smart(
         self, queries: DataFrame, now: int, limit: int = 5, include_core: bool = True, variants: DataFrame | None = None,
         primed: DataFrame | None = None, reranker: recall.Reranker | None = None, reinforce: bool = False,
     ) -> DataFrame:
         """The whole recall of `recall.smart`; with reinforce, what was found by search is stored as recalled."""
-        asked = queries.withColumn("terms", F.slice(search.tokens(F.col("text")), 1, 10))
+        asked = queries.withColumn("terms", F.slice(self.tokenize(F.col("text")), 1, 10))
         facts, edges = self.table("facts"), self.table("edges")
-        found = recall.smart_recall(asked, facts, edges, now, limit, self.settings, variants, primed, reranker)
+        found = recall.smart_recall(asked, facts, edges, now, limit, self.settings, variants, primed, reranker, self.keywords.search)
         out = recall.smart(asked, facts, edges, now, limit, self.settings, include_core, found)
         if reinforce:
             out = materialize(out)
@@ -152,7 +197,9 @@ class Memory:
         return out
 
     def reinforce_recalled(self, hits: DataFrame, now: int) -> DataFrame:
-        return self.store.write("facts", materialize(ingest.reinforce_recalled(self.table("facts"), filters.countable_recall(hits), now, self.settings)))
+        ids = materialize(filters.countable_recall(hits).select("fact_id").distinct())
+        facts = self.table("facts").join(ids, "fact_id", "left_semi")
+        return self.store.upsert("facts", materialize(ingest.reinforce_recalled(facts, ids, now, self.settings)))
 
     def search_history(self, queries: DataFrame, limit: int = 5) -> DataFrame:
         """Transcript lines of each query's channel by keyword."""
@@ -168,26 +215,27 @@ class Memory:
         return filters.listing(self.table("facts"), now, limit=limit)
 
     def delete_memory(self, ids: DataFrame) -> None:
-        """Facts and their edges."""
-        self.store.delete(materialize(ids.select("fact_id")), "facts", "edges")
+        """Facts, their edges and what the keyword index has of them."""
+        self.store.delete(materialize(ids.select("fact_id")), "facts", "edges", self.keywords.name)
 
     # Consolidation; apply=False only reports.
 
     def recompute_tiers(self, now: int, apply: bool = False) -> DataFrame:
         tiers = materialize(consolidate.recomputed_tiers(self.table("facts"), now, self.settings))
         if apply:
-            self.store.write("facts", materialize(ingest.update_partial(self.table("facts"), tiers.where("old_tier is null or old_tier <> new_tier").select("fact_id", F.col("new_tier").alias("tier")))))
+            self.store.update("facts", tiers.where("old_tier is null or old_tier <> new_tier").select("fact_id", F.col("new_tier").alias("tier")))
         return tiers.groupBy("old_tier", "new_tier").agg(F.count(F.lit(1)).alias("n"))
 
     def compress_gists(self, now: int, apply: bool = False) -> DataFrame:
         new, members = consolidate.gists(self.table("facts"), self.table("edges"), self.table("entities"), now, self.settings)
         new, members = materialize(new), materialize(members)
         if apply:
-            facts = ingest.update_partial(self.table("facts"), members)
+            facts = ingest.update_partial(self.store.get("facts", members), members)
             added = new.select(F.col("gist_id").alias("fact_id"), "user_id", "memory", "ts", "category", F.col("importance").cast("int").alias("importance"), "tier", "gist_of")
-            self.store.write("facts", materialize(facts.unionByName(added, allowMissingColumns=True)))
+            self.store.upsert("facts", materialize(facts.unionByName(added, allowMissingColumns=True)))
+            self.keywords.add(added)
             edges = new.select(F.col("gist_id").alias("fact_id"), "entity_id", F.lit("gist").alias("role"), F.col("ts").alias("created_at"))
-            self.store.write("edges", materialize(self.table("edges").unionByName(edges)))
+            self.store.add("edges", edges)
         return new
 
     def abstract_schemas(self) -> DataFrame:

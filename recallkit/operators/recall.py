@@ -71,7 +71,11 @@ def core_first(core: DataFrame, main: DataFrame, bundle: DataFrame, limit: int,
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("section", "rank", "fact_id"))).drop("rank")
 
 
-def hybrid(queries: DataFrame, facts: DataFrame, now: int, limit: int = 20, max_distance: float | None = None, s: Settings = DEFAULT, key: str = "query_id") -> DataFrame:
+#: A stored index's search: of queries (with user_id and terms), the limit and the name of their id.
+Keywords = Callable[..., DataFrame]
+
+
+def hybrid(queries: DataFrame, facts: DataFrame, now: int, limit: int = 20, max_distance: float | None = None, s: Settings = DEFAULT, key: str = "query_id", keywords: Keywords | None = None) -> DataFrame:
     """Vector and keyword hits among the facts of each query's user, fused. queries: key, user_id, q, terms, channel_id.
 
     Word statistics are those of the whole index; archived and out-of-scope facts of either list are left out.
@@ -83,19 +87,22 @@ def hybrid(queries: DataFrame, facts: DataFrame, now: int, limit: int = 20, max_
         return hits.join(valid, "fact_id").join(channel, key).where(in_scope(F.col("scope"), F.col("channel_id"), s)).select(key, "fact_id", "score", "rank")
 
     near = shown(search.knn(queries, facts.where("embedding is not null"), limit, on=["user_id"], query_id=key, max_distance=max_distance))
-    worded = shown(search.keyword_search(queries, facts.select("fact_id", "user_id", F.col("memory").alias("text")), s.keyword_limit, query_id=key, scope="user_id"))
+    if keywords:
+        worded = shown(keywords(queries, s.keyword_limit, query_id=key))
+    else:
+        worded = shown(search.keyword_search(queries, facts.select("fact_id", "user_id", F.col("memory").alias("text")), s.keyword_limit, query_id=key, scope="user_id"))
     place = Window.partitionBy(key).orderBy("rank")
     near, worded = (x.withColumn("rank", F.row_number().over(place)) for x in (near, worded))
     return search.rrf(near, worded, limit, key, s=s)
 
 
-def multi_hybrid(queries: DataFrame, facts: DataFrame, now: int, limit: int = 20, max_distance: float | None = None, variants: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
+def multi_hybrid(queries: DataFrame, facts: DataFrame, now: int, limit: int = 20, max_distance: float | None = None, variants: DataFrame | None = None, s: Settings = DEFAULT, keywords: Keywords | None = None) -> DataFrame:
     """Hybrid search by each query and its variants (query_id, variant_ord from 1, q, terms), merged: the first copy of a fact counts, then the distance."""
     cols = ["query_id", "variant_ord", "q", "terms"]
     forms = queries.withColumn("variant_ord", F.lit(0)).select(*cols)
     forms = forms if variants is None else forms.unionByName(variants.select(*cols))
     forms = forms.join(queries.select("query_id", "user_id", "channel_id"), "query_id").withColumn("form", F.struct("query_id", "variant_ord"))
-    hits = hybrid(forms, facts, now, limit, max_distance, s, "form")
+    hits = hybrid(forms, facts, now, limit, max_distance, s, "form", keywords)
     lists = hits.select(F.col("form.query_id").alias("query_id"), F.col("form.variant_ord").alias("list_ord"), "fact_id", "score", F.col("rank").alias("pos"))
     return search.merge_lists(lists, limit).select("query_id", "fact_id", "score", "rank")
 
@@ -119,7 +126,7 @@ class Recall:
 
 def smart_recall(
     queries: DataFrame, facts: DataFrame, edges: DataFrame, now: int, limit: int = 5, s: Settings = DEFAULT,
-    variants: DataFrame | None = None, primed: DataFrame | None = None, reranker: Reranker | None = None,
+    variants: DataFrame | None = None, primed: DataFrame | None = None, reranker: Reranker | None = None, keywords: Keywords | None = None,
 ) -> Recall:
     """The search itself: variants, hybrid search, graph siblings, confidence, then either boosts, cut and distance gate, or boosts, rerank and bundle.
 
@@ -127,7 +134,7 @@ def smart_recall(
     the confidence gate is on, queries without any evidence keep no hits.
     """
     gate = None if reranker else s.relevance_max_distance
-    hits = materialize(multi_hybrid(queries, facts, now, 20, gate, variants, s))  # 20 rows a query
+    hits = materialize(multi_hybrid(queries, facts, now, 20, gate, variants, s, keywords))  # 20 rows a query
     wanted = hits.where("rank <= 3").join(edges, "fact_id").select("entity_id")
     siblings = graph.expand_siblings(hits, edges, graph.co_occurrence(edges, 5, wanted), facts, queries, now, primed, s=s)
     last = Window.partitionBy("query_id").orderBy("_late", "rank", F.desc("activation"), "fact_id")

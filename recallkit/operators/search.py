@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallkit.config import DEFAULT, Settings
 from recallkit.operators.filters import within_distance
-from recallkit.session import broadcast_if_small
+from recallkit.session import broadcast_if_small, materialize
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -84,21 +84,31 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int, doc: str = "fact
     queries: query_id, terms (array; repeated terms count again), and scope if documents are limited to the query's. Words that no query asks
     for are dropped before any shuffle.
     """
+    split = docs.select(doc, *([scope] if scope else []), tokens(F.col(text)).alias("_t"))
+    lengths = split.select(F.size("_t").alias("dl"))
+    found = split.select(doc, *([scope] if scope else []), F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return rank_postings(queries, found, lengths, k, doc, query_id, scope)
+
+
+def rank_postings(queries: DataFrame, postings: DataFrame, lengths: DataFrame, k: int, doc: str, query_id: str, scope: str | None = None) -> DataFrame:
+    """BM25 of queries (query_id, terms[, scope]) over postings (doc, term, dl[, tf, else one row per occurrence][, scope]); lengths: dl of every document.
+
+    The postings of asked words are written once; document frequencies, statistics and scores read them there.
+    """
     asked = queries.select(query_id, F.explode("terms").alias("term"), *([F.col(scope).alias("_scope")] if scope else []))
     asked = asked.groupBy(query_id, "term", *(["_scope"] if scope else [])).agg(F.count(F.lit(1)).alias("times"))
-    split = docs.select(doc, tokens(F.col(text)).alias("_t"))
-    lengths = split.select(doc, F.size("_t").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # one row
     wanted = broadcast_if_small(asked.select("term").distinct())
-    found = split.select(doc, F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
-    hits = found.groupBy("term", doc, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    tf = F.sum("tf") if "tf" in postings.columns else F.count(F.lit(1))
+    hits = postings.join(wanted, "term", "left_semi").groupBy("term", doc, "dl", *([F.col(scope).alias("_own")] if scope else [])).agg(tf.alias("tf"))
+    hits = materialize(hits)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    odds = F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").join(F.broadcast(stats)).select(*asked.columns, "avgdl", F.when(odds > 0, odds).otherwise(1e-6).alias("idf"))
+    odds = F.ln((F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select(*asked.columns, F.when(odds > 0, odds).otherwise(1e-6).alias("idf"))
     rows = hits.join(weights, "term")
     if scope:
-        rows = rows.join(docs.select(doc, F.col(scope).alias("_own")), doc).where(F.col("_own") == F.col("_scope"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+        rows = rows.where(F.col("_own") == F.col("_scope"))
+    part = F.col("times") * F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.lit(float(stats["avgdl"] or 1.0))))
     scored = rows.groupBy(query_id, doc).agg(F.sum(part).alias("score"))
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), doc)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, doc, "score", "rank")

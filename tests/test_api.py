@@ -40,7 +40,10 @@ def test_life_of_facts(spark, tmp_path):
     assert m.recompute_tiers(NOW + 10_000 * 86400, apply=True).count() >= 1
     assert m.table("facts").where("tier = 3").count() >= 1
     assert m.get_all_memories("u", 2).count() == 2 and m.list_memories(NOW + 20).count() == 3
+    assert {r.attribute: r.status for r in m.attribute_history().where("status = 'active'").collect()} == {"residence": "active"} and m.attribute_history().count() == 2
+    assert {r.kind: r.n for r in m.stats().collect()} == {"entities": 1, "edges": 1, "relations": 0, "facts": 3, "indexed": 3, "lines": 0, "versions": 2}
     m.delete_memory(m.table("facts").where("memory = 'likes green tea'").select("fact_id"))
+    assert m.keywords.stats().first().n_docs == 2
     assert m.table("facts").count() == 2 and m.table("edges").count() == 0
 
 
@@ -51,3 +54,7 @@ def test_history(spark, tmp_path):
     assert m.index_lines(lines).count() == 1
     q = spark.createDataFrame([(1, "c", "apples"), (2, "d", "apples")], "query_id int, channel_id string, text string")
     assert [(r.query_id, r.author) for r in m.search_history(q).collect()] == [(1, "Ann")]
+    assert [r.user_text for r in m.replay().collect()] == ["red apples and pears"] and m.replay().count() == 0
+    later = lines.select("channel_id", (F.col("ts") + F.expr("interval 1 hour")).alias("ts"), F.lit(2).cast("long").alias("seq"), "role", "author", F.lit("more").alias("text"))
+    m.index_lines(later)
+    assert [r.user_text for r in Memory(spark, f"file://{tmp_path}/m").replay().collect()] == ["more"]

@@ -238,6 +238,58 @@ def test_store(spark, tmp_path):
     assert s.read("facts").count() == 1 and s.scan("facts", limit=1).count() == 1
 
 
+def test_store_versions(spark, tmp_path):
+    """Two writers, a writer that dies, folders that no manifest names, deltas and compaction."""
+    from recallkit.sources.store import ConflictError
+
+    s, path = Store(spark, f"file://{tmp_path}/s"), tmp_path / "s" / "t"
+    rows = lambda *x: spark.createDataFrame([(f"f{i}", "u", i) for i in x], "fact_id string, user_id string, n int")
+    s.write("t", rows(1, 2, 3))
+    old = s._manifest("t")
+    s.add("t", rows(4))
+    with pytest.raises(ConflictError):
+        s._commit("t", old, data=["lost"])
+    with pytest.raises(ConflictError):
+        s.write("t", rows(9), seen=1)
+    (path / "versions" / "000000000003.json").write_text('{"version": 3, "da')  # begun and never ended
+    rows(8).write.parquet(f"file://{path}/orphan")
+    ids = lambda: sorted(r.fact_id for r in s.read("t").collect())
+    assert ids() == ["f1", "f2", "f3", "f4"] and s.version("t") == 2
+    (path / "versions" / "000000000003.json").unlink()
+    files = {f.name for f in path.iterdir()}
+    s.update("t", spark.createDataFrame([("f2", 22), ("f7", 7)], "fact_id string, n int"))
+    s.delete(rows(1), "t")
+    s.add("t", rows(1))
+    assert files <= {f.name for f in path.iterdir()}
+    assert {r.fact_id: r.n for r in s.read("t").collect()} == {"f1": 1, "f2": 22, "f3": 3, "f4": 4}
+    for _ in range(s.MOST_HIDDEN + 1):
+        s.upsert("t", rows(5))
+    assert len(s._manifest("t")["hidden"]) <= s.MOST_HIDDEN and ids() == ["f1", "f2", "f3", "f4", "f5"]
+
+
+def test_keyword_index(spark, tmp_path):
+    """Added, replaced, removed and rebuilt, it finds what a search over the texts finds."""
+    from recallkit.sources.keywords import KeywordIndex
+
+    index = KeywordIndex(Store(spark, f"file://{tmp_path}/k"))
+    docs = spark.createDataFrame([("a", "u", "green tea and tea"), ("b", "u", "black coffee"), ("c", "v", "green apples"), ("d", "u", "..."), ("e", "u", None)], "fact_id string, user_id string, memory string")
+    index.add(docs.where("fact_id <> 'b'"))
+    index.add(spark.createDataFrame([("b", "u", "green coffee"), ("a", "u", "old")], docs.schema).unionByName(docs.where("fact_id = 'zz'")))
+    index.add(docs.where("fact_id in ('a', 'b')"))
+    q = spark.createDataFrame([(1, "u", ["green", "tea", "tea"]), (2, "v", ["green"])], "query_id int, user_id string, terms array<string>")
+    plain = search.keyword_search(q, docs.where("memory is not null").withColumnRenamed("memory", "text"), 5, scope="user_id")
+    key = lambda df: sorted((r.query_id, r.fact_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert key(index.search(q, 5)) == key(plain) and {(r.query_id, r.fact_id) for r in plain.collect()} == {(1, "a"), (2, "c")}
+    assert {(r.query_id, r.fact_id) for r in index.search(q, 5, scoped=False).collect()} == {(1, "a"), (1, "c"), (2, "a"), (2, "c")}
+    assert tuple(index.stats().first()) == (4, 8, 2)
+    index.remove(docs.where("fact_id = 'a'"))
+    assert {r.fact_id for r in index.search(q, 5).collect()} == {"c"}
+    assert index.rebuild(docs).count() == 4
+    pairs = KeywordIndex(index.store, "pairs", lambda c: F.filter(F.split(c, ""), lambda t: t != ""))  # a tokenizer for unspaced text
+    pairs.rebuild(spark.createDataFrame([("j", "u", "東京タワー")], docs.schema))
+    assert pairs.search(spark.createDataFrame([(1, "u", ["東"])], q.schema), 3).first().fact_id == "j"
+
+
 def test_state_file(tmp_path):
     p = str(tmp_path / "cursor.json")
     assert read_json(p, {}) == {}

@@ -34,12 +34,6 @@ SCHEMAS = {"facts": FACTS, "edges": EDGES, "entities": ENTITIES, "aliases": ALIA
 #: What rows of a table are told apart by, where it isn't fact_id.
 KEYS = {"entities": "entity_id", "aliases": "entity_id", "relations": "relation_id", "history": "channel_id", "cursors": "channel_id"}
 
-def new_lines(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Transcript lines that are not known yet, each (channel, time, role, text) once."""
-    keys = ["channel_id", "ts", "role", "text"]
-    return lines.dropDuplicates(keys).join(known.select(*keys), keys, "left_anti")
-
-
 #: A column of a text column; what a model would answer.
 Rewriter = Callable[[Column], Column]
 
@@ -50,7 +44,7 @@ class Memory:
     path: str
     settings: Settings = DEFAULT
     judge: ingest.Judge = field(default_factory=ingest.word_judge)
-    conflict: ingest.Judge = ingest.no_conflict
+    conflict: ingest.Judge = ingest.quantity_conflict
     tokenize: Tokenizer = search.tokens
 
     def __post_init__(self) -> None:
@@ -142,7 +136,7 @@ class Memory:
 
     def index_lines(self, lines: DataFrame) -> DataFrame:
         """Transcript lines added, each (channel, time, role, text) once."""
-        return self.store.add("history", materialize(new_lines(lines, self.table("history"))))
+        return self.store.add("history", materialize(consolidate.new_lines(lines, self.table("history"))))
 
     def replay(self) -> DataFrame:
         """The next turns of every channel; the cursors behind them are stored once they have been written."""

@@ -32,6 +32,19 @@ def no_conflict(a: Column, b: Column) -> Column:
     return F.lit("addition")
 
 
+def quantity_conflict(a: Column, b: Column) -> Column:
+    """Without a model: an update if both texts name one quantity of the same unit and the numbers differ, else an addition."""
+    pattern = r"(-?\d+(?:\.\d+)?)\s*(\p{L}+|%)"
+
+    def named(c: Column) -> tuple[Column, Column, Column]:
+        numbers = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
+        return F.size(numbers) == 1, F.get(numbers, F.lit(0)).cast("double"), F.lower(F.get(F.regexp_extract_all(c, F.lit(pattern), F.lit(2)), F.lit(0)))
+
+    one, x, unit = named(a)
+    two, y, other = named(b)
+    return F.when(F.coalesce(one & two & (unit == other) & (x != y), F.lit(False)), "update").otherwise("addition")
+
+
 def dedup_by_key(cands: DataFrame, user: str = "user_id", text: str = "text", order: str = "ordinal") -> DataFrame:
     """Candidates whose (user, trimmed text) comes first."""
     nth = F.row_number().over(Window.partitionBy(T.fact_key(F.col(user), F.col(text))).orderBy(order))

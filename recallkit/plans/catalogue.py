@@ -11,7 +11,10 @@ from recallkit.functions import text as T
 from recallkit.functions import vocabulary as V
 from recallkit.operators import consolidate, filters, graph, ingest, recall, search
 from recallkit.plans.registry import query, table
+from recallkit.session import scratch
 from recallkit.sources import views as S
+from recallkit.sources.keywords import KeywordIndex
+from recallkit.sources.store import Store
 from recallkit.sources.views import ALIASES_SQL, EDGES_SQL, ENTITIES_SQL, FACTS_SQL, NOW, PRESENTATIONS_SQL
 
 R6 = lambda c: F.round(c, 6)
@@ -63,14 +66,23 @@ def scoped_facts(spark: SparkSession, d: str) -> DataFrame:
     return f.where(filters.in_scope(F.col("scope"), F.lit("1"), Settings(scope_filter=True))).select("fact_id", "scope")
 
 
+def _stored(spark: SparkSession, facts: DataFrame) -> Store:
+    """A store of the facts in two parts, some rows of which were replaced."""
+    store, facts = Store(spark, scratch(spark)), facts.select("fact_id", "user_id", "memory")
+    store.write("facts", facts.where("fact_id % 3 <> 0").withColumn("memory", F.when(F.col("fact_id") % 5 == 0, "old").otherwise(F.col("memory"))))
+    store.add("facts", facts.where("fact_id % 3 = 0"))
+    store.upsert("facts", facts.where("fact_id % 5 = 0"))
+    return store
+
+
 @query(f"WITH {FACTS_SQL} SELECT fact_id, memory FROM facts WHERE user_id = 'src3'")
 def user_scan(spark: SparkSession, d: str) -> DataFrame:
-    return S.facts(spark, d).where("user_id = 'src3'").select("fact_id", "memory")
+    return _stored(spark, S.facts(spark, d)).scan("facts", "src3").select("fact_id", "memory")
 
 
 @query(f"WITH {FACTS_SQL} SELECT fact_id, user_id FROM facts WHERE fact_id IN (SELECT item_id FROM benchmark)")
 def point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return S.facts(spark, d).join(table(spark, d, "benchmark").select(F.col("item_id").alias("fact_id")), "fact_id", "left_semi").select("fact_id", "user_id")
+    return _stored(spark, S.facts(spark, d)).get("facts", table(spark, d, "benchmark").select(F.col("item_id").alias("fact_id"))).select("fact_id", "user_id")
 
 
 def _benchmark_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -634,7 +646,8 @@ def recall_intent(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT DISTINCT conv_id AS channel_id, turn AS ts, role, text FROM conversations")
 def history_idempotent(spark: SparkSession, d: str) -> DataFrame:
     h = S.history(spark, d).select("channel_id", "ts", "role", "text")
-    return h.unionByName(h).dropDuplicates()
+    known = consolidate.new_lines(h.where("ts % 2 = 0"), h.limit(0))
+    return known.unionByName(consolidate.new_lines(h.unionByName(h), known))
 
 
 @query(f"WITH {EDGES_SQL}, {ENTITIES_SQL} SELECT 'entities' AS kind, count(*) AS n FROM entities UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'relations', count(*) FROM orders")
@@ -715,3 +728,91 @@ def content_terms(spark: SparkSession, d: str) -> DataFrame:
 
     terms = extraction.content_terms(search.tokens(F.col("text")), 200)
     return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+@query(f"WITH docs AS (SELECT doc_id::VARCHAR AS doc, text FROM documents WHERE doc_id % 10 <> 0), {BENCH_TERMS}, {bm25_sql('docs', 'q', 5)} SELECT query_id, doc AS fact_id, round(score, 6) AS score, rank FROM bmr")
+def keyword_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index after documents were added with another text, replaced, and some removed."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fact_id"), F.col("source").alias("user_id"), F.col("text").alias("memory"))
+    index = KeywordIndex(Store(spark, scratch(spark)))
+    index.rebuild(docs.withColumn("memory", F.when(F.col("fact_id") % 7 == 0, "to be replaced").otherwise(F.col("memory"))))
+    index.add(docs.where("fact_id % 7 = 0"))
+    index.remove(docs.where("fact_id % 10 = 0").select(F.col("fact_id").cast("string").alias("fact_id")))
+    return index.search(_benchmark_queries(spark, d), 5, scoped=False).withColumn("score", R6("score"))
+
+
+@query("SELECT doc_id, source AS channel_id, lang AS persona, 2::INT AS n FROM documents")
+def caller_metadata(spark: SparkSession, d: str) -> DataFrame:
+    given = F.create_map(F.lit("channel_id"), F.col("source"), F.lit("persona"), F.col("lang"), F.lit("importance"), F.lit("5"), F.lit("gate_version"), F.lit("x"), F.lit("source"), F.lit(None).cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", filters.caller_metadata(given).alias("m"))
+    return rows.select("doc_id", F.col("m")["channel_id"].alias("channel_id"), F.col("m")["persona"].alias("persona"), F.size("m").alias("n"))
+
+
+@query(f"""WITH {EDGES_SQL}, {ENTITIES_SQL}, hit AS (SELECT p_partkey, min(entity_id) AS entity_id FROM part JOIN entities ON canonical_name = p_name AND user_id = 'u' || (p_partkey % 5) WHERE p_partkey % 2 = 0 GROUP BY 1), more AS (SELECT entity_id, count(*) AS n FROM hit GROUP BY 1)
+SELECT canonical_name, user_id, (mention_count + coalesce(n, 0))::INT AS mention_count FROM entities LEFT JOIN more USING (entity_id) UNION ALL
+SELECT 'new ' || p_brand, 'u' || (p_partkey % 5), count(*)::INT FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2""")
+def entity_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions of known entities, and of brands that no entity is named by."""
+    p, even = table(spark, d, "part"), F.col("p_partkey") % 2 == 0
+    new = p.select(F.when(even, F.col("p_name")).otherwise(F.concat(F.lit("new  "), F.col("p_brand"))).alias("name"), F.col("p_type").alias("type"), F.concat(F.lit("u"), (F.col("p_partkey") % 5).cast("string")).alias("user_id"), F.array(F.lit(" ")).alias("aliases"))
+    return graph.upsert_entities(new, S.entities(spark, d), S.aliases(spark, d), NOW)[0].select("canonical_name", "user_id", "mention_count")
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat(list_slice(list_filter({FOLD.format('text')}, lambda t: t <> ''), 1, 8), ['chai', 'tea']))), ' ') AS terms FROM benchmark")
+def keywords_with_aliases(spark: SparkSession, d: str) -> DataFrame:
+    words = F.slice(search.tokens(F.col("text")), 1, 8)
+    return table(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(search.keywords_with_aliases(words, F.array(F.lit("chai"), F.lit("tea")))), " ").alias("terms"))
+
+
+@query("""WITH f AS (SELECT event_id AS fact_id, user_id, ['weight', 'residence', 'habit.x'][event_id % 3 + 1] AS attribute, ['time:morning', 'time:night', ''][(event_id // 3) % 3 + 1] AS condition, round(value, 2) AS v FROM events),
+pr AS (SELECT o.fact_id AS existing_id, n.fact_id AS cand_id FROM f o JOIN f n ON o.user_id = n.user_id AND o.fact_id % 20 <> 0 AND n.fact_id % 20 = 0 AND o.v <> n.v
+  AND (o.condition = '' OR n.condition = '' OR o.condition = n.condition) AND o.attribute IN ('weight', 'residence') AND n.attribute IN ('weight', 'residence') AND abs(o.v - n.v) > 20)
+SELECT existing_id, min(cand_id) AS cand_id, 'update' AS verdict FROM pr GROUP BY 1""")
+def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
+    """As attr_conflict, with two attributes in one group."""
+    f = _attribute_rows(spark, d)
+    cands = f.where("fact_id % 20 = 0").select(F.col("fact_id").alias("cand_id"), "user_id", "attribute", "condition", F.col("memory").alias("text"))
+    judge = lambda a, b: F.when(F.abs(a.cast("double") - b.cast("double")) > 20, "update").otherwise("none")
+    return ingest.attribute_conflicts(cands, f.where("fact_id % 20 <> 0"), judge, {"body": ["weight", "residence"]})
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = event_id % 5 OR event_id % 3 = 0 THEN 'addition' ELSE 'update' END AS verdict FROM events")
+def quantity_conflict(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    old = F.concat(F.lit("weighs "), (i % 7).cast("string"), F.lit(".0 KG now"))
+    new = F.concat(F.lit("weighs "), (i % 5).cast("string"), F.when(i % 3 == 0, " lb").otherwise("kg"))
+    return table(spark, d, "events").select("event_id", ingest.quantity_conflict(old, new).alias("verdict"))
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'ann' WHEN 'Brand#23' THEN 'bob' ELSE p_brand END AS person FROM part")
+def appellation(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", T.resolve_appellation(F.col("p_brand"), {"Brand#11": "ann", "Brand#23": "bob"}).alias("person"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, '- (' || CASE role WHEN 'user' THEN '過去の発言者' WHEN 'assistant' THEN '私' ELSE role END || ') ' || text AS line FROM conversations WHERE text <> '')
+SELECT conv_id AS channel_id, '[History — past log lines that matched the query keywords]' || chr(10) || string_agg(line, chr(10) ORDER BY turn) || chr(10) || '[End of history]' AS block FROM l GROUP BY 1""")
+def history_block(spark: SparkSession, d: str) -> DataFrame:
+    return T.history_block(S.history(spark, d).withColumn("ord", F.col("ts")), "channel_id")
+
+
+@query(f"""WITH {EDGES_SQL}, {ENTITIES_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY mention_count DESC, entity_id) AS rank FROM entities WHERE mention_count >= 2 QUALIFY rank <= 30)
+SELECT user_id, string_agg('- ' || canonical_name || ' (' || type || ')', chr(10) ORDER BY rank) AS body FROM t GROUP BY 1""")
+def known_entities(spark: SparkSession, d: str) -> DataFrame:
+    top = graph.top_entities(S.entities(spark, d)).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("canonical_name").alias("name"), "type"))).alias("e"))  # 30 rows a user
+    return top.select("user_id", T.known_entities_text(F.col("e")).alias("body"))
+
+
+@query("""WITH r AS (SELECT o_orderkey AS relation_id, o_custkey AS src, epoch(o_orderdate)::BIGINT AS created_at FROM orders), v AS (SELECT *, lead(created_at) OVER (PARTITION BY src ORDER BY created_at, relation_id) AS valid_to FROM r)
+SELECT relation_id, coalesce(valid_to, CASE WHEN relation_id % 4 = 0 THEN 900000000 END) AS valid_to FROM v""")
+def relation_expiry(spark: SparkSession, d: str) -> DataFrame:
+    r = _relations(spark, d)
+    ended = r.where("relation_id % 4 = 0").select("relation_id", F.lit(900000000).cast("long").alias("ended_at"))
+    return graph.expire_relations(r, ended).select("relation_id", "valid_to")
+
+
+@query("SELECT conv_id AS channel_id, max(turn) AS ts, max(turn) AS seq, count(*) AS n_turns FROM (SELECT * FROM conversations WHERE turn > 1 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 200) WHERE role = 'user' GROUP BY 1")
+def replay_cursors(spark: SparkSession, d: str) -> DataFrame:
+    h = S.history(spark, d)
+    start = h.select("channel_id").distinct().select("channel_id", F.lit(1).cast("long").alias("ts"), F.lit(1).cast("long").alias("seq"))
+    turns, cursors = consolidate.replay(h, start)
+    return cursors.join(turns.groupBy("channel_id").agg(F.count(F.lit(1)).alias("n_turns")), "channel_id")

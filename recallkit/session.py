@@ -76,6 +76,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession) -> str:
+    """A path in the shared folder for files of a caller's own, which go when the driver ends."""
+    path = f"{shared_dir(spark)}/recallkit/{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` wrote and nothing reads any more."""
     for df in tables:

@@ -45,10 +45,26 @@ def batches(turns: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return turns.groupBy("channel_id").applyInPandasWithState(run, schema, "batch int, users array<string>, assistants array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
-def priming(touches: DataFrame, s: Settings = DEFAULT, delay: str = "10 minutes") -> DataFrame:
-    """The last touch of each (user_id, channel_id, entity_id) in windows of the time to live."""
-    rows = touches.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return rows.groupBy(F.window("ts", f"{s.priming_ttl} seconds"), "user_id", "channel_id", "entity_id").agg(F.max("ts").alias("touched")).select("user_id", "channel_id", "entity_id", "touched", F.col("window.end").alias("until"))
+def priming(touches: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """What is primed in each (user_id, channel_id) after every micro-batch with touches of it: entity_id, touched, and until, when the touch expires (strictly).
+
+    The state keeps the latest touch of the most recent entities, at most priming_max of them, as the batch form `graph.primed` does; those that the
+    latest touch of the channel finds expired leave it, so the state is bounded.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = dict(zip(*state.get, strict=True)) if state.exists else {}
+        for pdf in parts:
+            for e, t in zip(pdf["entity_id"].tolist(), pdf["t"].tolist(), strict=True):
+                last[e] = max(t, last.get(e, t))
+        now = max(last.values())
+        kept = sorted(((t, e) for e, t in last.items() if now - t < s.priming_ttl), key=lambda x: (-x[0], x[1]))[: s.priming_max]
+        state.update(([e for _, e in kept], [t for t, _ in kept]))
+        yield pd.DataFrame([(*key, e, t, t + s.priming_ttl) for t, e in kept], columns=["user_id", "channel_id", "entity_id", "touched", "until"])
+
+    rows = touches.select("user_id", "channel_id", "entity_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
+    schema = "user_id string, channel_id string, entity_id long, touched long, until long"
+    return rows.groupBy("user_id", "channel_id").applyInPandasWithState(run, schema, "entities array<long>, times array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
 def spaced_recalls(events: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -42,8 +42,16 @@ def test_intake_and_claims(spark, tmp_path):
 
 
 def test_priming(spark, tmp_path):
+    """The same entities as the batch form: a touch lives its whole time, whatever windows it falls into, and at most the newest ones are kept."""
+    from recallkit.operators import graph
+
     t = datetime(2024, 1, 1)
-    rows = [("u", "c", 1, t), ("u", "c", 1, t + timedelta(minutes=5)), ("u", "c", 2, t)]
+    rows = [("u", "c", 1, t), ("u", "c", 1, t + timedelta(minutes=29)), ("u", "c", 2, t), ("u", "c", 3, t + timedelta(minutes=31)), ("v", "c", 9, t), *[("v", "c", e, t + timedelta(seconds=e)) for e in range(10, 40)]]
     s = streamed(spark, tmp_path, rows, "user_id string, channel_id string, entity_id long, ts timestamp_ntz")
-    got = drained(P.priming(s), "primed", "update").collect()
-    assert {(r.entity_id, r.touched.minute) for r in got} == {(1, 5), (2, 0)}
+    got = {(r.user_id, r.entity_id, r.touched) for r in drained(P.priming(s), "primed", "update").collect()}
+    touches = spark.createDataFrame(rows, "user_id string, channel_id string, entity_id long, ts timestamp_ntz").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    want = set()
+    for user in ("u", "v"):
+        own = touches.where(F.col("user_id") == user)
+        want |= {(r.user_id, r.entity_id, r.touched) for r in graph.primed(own, own.agg(F.max("t")).first()[0]).collect()}
+    assert got == want and {e for u, e, _ in got if u == "u"} == {1, 3} and len(got) == 22

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,57 +14,92 @@ from recallkit.operators.filters import within_distance
 from recallkit.session import broadcast_if_small, materialize
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; never below 0."""
-    return F.greatest(F.lit(0.0), 1 - _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b)))
+def _distances(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Of every row of x from q. Row by row sums, so equal vectors have equal distances wherever they stand."""
+    if metric == "l2sq":
+        return ((x - q) ** 2).sum(1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.maximum(0.0, 1 - (x * q).sum(1) / np.sqrt((x * x).sum(1) * (q * q).sum()))
 
 
-def l2_squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
+#: From the distances and ids of a share's facts, and the query's id, the places of those that go on.
+Pick = Callable[[np.ndarray, np.ndarray, object], np.ndarray]
 
 
-METRICS = {"cosine": cosine_distance, "l2sq": l2_squared}
+def _tiled(queries: DataFrame, facts: DataFrame, metric: str, keys: list[str], query_id: str, fact_id: str, pick: Pick, share: int = 16384, block: int = 4096) -> DataFrame:
+    """Rows (query_id, fact_id, score): blocks of queries meet shares of the facts in tiles, as Arrow batches; a tile holds about `block` queries and `share` facts.
 
-
-def _scored(queries: DataFrame, facts: DataFrame, metric: str, keys: list[str], query_id: str, fact_id: str, salt: int) -> DataFrame:
-    """All pairs of the two sides with their distance and the fact's share."""
-    asked = queries.select(query_id, "q", *[F.col(c).alias(f"_q_{c}") for c in keys])
-    facts = facts.withColumn("_salt", F.pmod(F.xxhash64(fact_id), F.lit(salt)))
+    Where keys limit queries to facts of their own, only keys with more than `share` facts are cut into shares. Vectors that are null or
+    hold nulls, and pairs of different lengths or without a distance, have no rows.
+    """
+    kinds = dict(queries.dtypes)[query_id], dict(facts.dtypes)[fact_id]
+    asked = queries.where("q is not null").select(F.col(query_id).alias("qid"), F.col("q").cast("array<double>").alias("vec"), *keys)
+    known = facts.where("embedding is not null").select(F.col(fact_id).alias("fid"), F.col("embedding").cast("array<double>").alias("vec"), *keys)
+    asked, known = asked.dropna(subset=keys) if keys else asked, known.dropna(subset=keys) if keys else known
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     if keys:
-        cond = F.lit(True)
+        large = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).select(*[F.col(c).alias(f"_{c}") for c in keys], F.ceil(F.col("_n") / share).cast("int").alias("_shares"))
+        large = broadcast_if_small(large)  # one row per `share` facts at most
+        same = F.lit(True)
         for c in keys:
-            cond = cond & (F.col(c) == F.col(f"_q_{c}"))
+            same = same & (F.col(c) == F.col(f"_{c}"))
+        asked, known = (x.join(large, same, "left").withColumn("_shares", F.coalesce("_shares", F.lit(1))) for x in (asked, known))
+        blocks, shares = F.lit(1), F.col("_shares")
     else:
-        facts = facts.withColumn("_one", F.col("_salt"))
-        asked = asked.withColumn("_q_one", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        cond = F.col("_one") == F.col("_q_one")
-    pairs = facts.join(broadcast_if_small(asked), cond)
-    return pairs.select(query_id, fact_id, "_salt", METRICS[metric](F.col("q"), F.col("embedding")).alias("score"))
-
-
-def within(queries: DataFrame, facts: DataFrame, max_distance: float, metric: str = "cosine", query_id: str = "query_id", fact_id: str = "fact_id", salt: int = 16) -> DataFrame:
+        counts = queries.count(), facts.count()
+        blocks, shares = (F.lit(max(1, -(-n // size))) for n, size in zip(counts, (block, share), strict=True))
+    none = F.lit(None)
+    asked = asked.select("qid", none.cast(kinds[1]).alias("fid"), "vec", *keys, F.pmod(F.xxhash64("qid"), blocks).cast("int").alias("qb"), every(shares).alias("fs"))
+    known = known.select(none.cast(kinds[0]).alias("qid"), "fid", "vec", *keys, every(blocks).alias("qb"), F.pmod(F.xxhash64("fid"), shares).cast("int").alias("fs"))
+
+    def meet(tile: pa.Table) -> pa.Table:
+        mine = tile.column("qid").is_valid().to_numpy()
+        vectors, ids = tile.column("vec").to_pylist(), tile.column("fid").to_pylist()
+        places: dict[int, list[int]] = {}
+        for i in np.flatnonzero(~mine).tolist():
+            if None not in vectors[i]:
+                places.setdefault(len(vectors[i]), []).append(i)
+        sides = {n: (np.array([vectors[i] for i in own]), np.array([ids[i] for i in own], None if isinstance(ids[own[0]], int) else object), np.array(own)) for n, own in places.items()}
+        names = tile.column("qid").to_pylist()
+        q_at, f_at, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i in np.flatnonzero(mine).tolist():
+            if None in vectors[i] or len(vectors[i]) not in sides:
+                continue
+            x, fids, own = sides[len(vectors[i])]
+            d = _distances(x, np.array(vectors[i]), metric)
+            at = pick(d, fids, names[i])
+            at = at[~np.isnan(d[at])]
+            q_at.append(np.full(len(at), i))
+            f_at.append(own[at])
+            scores.append(d[at])
+        q, f = pa.array(np.concatenate(q_at)), pa.array(np.concatenate(f_at))
+        return pa.table([tile.column("qid").take(q), tile.column("fid").take(f), pa.array(np.concatenate(scores))], [query_id, fact_id, "score"])
+
+    return asked.unionByName(known).groupBy(*keys, "qb", "fs").applyInArrow(meet, f"`{query_id}` {kinds[0]}, `{fact_id}` {kinds[1]}, score double")
+
+
+def within(queries: DataFrame, facts: DataFrame, max_distance: float, metric: str = "cosine", query_id: str = "query_id", fact_id: str = "fact_id") -> DataFrame:
     """All facts within a distance of each query, however many: query_id, fact_id, score."""
-    scored = _scored(queries, facts, metric, [], query_id, fact_id, salt)
-    return scored.where(within_distance(F.col("score"), max_distance)).drop("_salt")
+    return _tiled(queries, facts, metric, [], query_id, fact_id, lambda d, fids, own: np.flatnonzero(d <= max_distance))
 
 
-def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, query_id: str = "query_id", fact_id: str = "fact_id", max_distance: float | None = None, salt: int = 16, distinct: bool = False) -> DataFrame:
-    """The k nearest facts of each query: query_id, fact_id, score, rank. A distance gate applies after the cut;
+def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on: list[str] | None = None, query_id: str = "query_id", fact_id: str = "fact_id", max_distance: float | None = None, distinct: bool = False) -> DataFrame:
+    """The k nearest facts of each query: query_id, fact_id, score, rank; ties go to the smaller fact_id. A distance gate applies after the cut;
     distinct leaves out the fact with the query's own id.
 
-    Queries (query_id, q, and the columns of `on`) are broadcast only after a count; more than that many are joined by hash.
-    Each salted share of the facts keeps k rows per query before the shuffle that merges them, so what moves is
-    k * salt rows per query, not the product of both sides.
+    Queries: query_id, q, and the columns of `on`, in which facts must agree. Each tile of a query block and a share of the facts gives out k rows per query, which one window
+    merges: what moves is k rows per query and share.
     """
-    scored = _scored(queries, facts, metric, on or [], query_id, fact_id, salt)
-    scored = scored.where(F.col(query_id) != F.col(fact_id)) if distinct else scored
-    near = Window.partitionBy(query_id, "_salt").orderBy("score", fact_id)
+
+    def nearest(d: np.ndarray, fids: np.ndarray, own: object) -> np.ndarray:
+        at = np.flatnonzero(fids != own) if distinct else np.arange(len(d))
+        if len(at) > k:
+            at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
+        return np.array(sorted(at.tolist(), key=lambda i: (d[i], fids[i]))[:k], np.int64)
+
+    found = _tiled(queries, facts, metric, on or [], query_id, fact_id, nearest)
     merged = Window.partitionBy(query_id).orderBy("score", fact_id)
-    out = scored.withColumn("_n", F.row_number().over(near)).where(F.col("_n") <= k).withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
+    out = found.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= k)
     out = out if max_distance is None else out.where(within_distance(F.col("score"), max_distance))
     return out.select(query_id, fact_id, "score", "rank")
 

@@ -81,14 +81,13 @@ class _Block:
         for i in range(len(self.ids)):
             bound = np.abs(d - self.d[i]).max(1)
             upper = (norm + self.sq[i] - bound**2) / 2 + 1e-6 * (norm + self.sq[i]) + 1  # above all rounding
-            best, left = self.best[i], np.arange(len(ids))
+            best, left, size = self.best[i], np.arange(len(ids)), chunk
             while len(left):
                 if len(best) == self.k:
                     left = left[upper[left] >= -best[-1][0]]  # the others are out for good
                 # The next in the order of the bounds.
-                first = np.argpartition(-upper[left], chunk)[:chunk] if len(left) > chunk else np.arange(len(left))
-                part = left[first]
-                left = np.delete(left, first)
+                order = np.argpartition(-upper[left], size) if len(left) > size else np.arange(len(left))
+                part, left, size = left[order[:size]], left[order[size:]], size * 4
                 scores, names = _dot(x[part], self.q[i]), ids[part]
                 keep = names != self.ids[i]
                 if len(best) == self.k:

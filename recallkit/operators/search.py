@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +54,21 @@ def _tiled(queries: DataFrame, facts: DataFrame, metric: str, keys: list[str], q
     known = known.select(none.cast(kinds[0]).alias("qid"), "fid", "vec", *keys, every(blocks).alias("qb"), F.pmod(F.xxhash64("fid"), shares).cast("int").alias("fs"))
 
     def meet(tile: pa.Table) -> pa.Table:
-        mine = tile.column("qid").is_valid().to_numpy()
-        vectors, ids = tile.column("vec").to_pylist(), tile.column("fid").to_pylist()
-        places: dict[int, list[int]] = {}
-        for i in np.flatnonzero(~mine).tolist():
-            if None not in vectors[i]:
-                places.setdefault(len(vectors[i]), []).append(i)
-        sides = {n: (np.array([vectors[i] for i in own]), np.array([ids[i] for i in own], None if isinstance(ids[own[0]], int) else object), np.array(own)) for n, own in places.items()}
-        names = tile.column("qid").to_pylist()
+        mine, sizes = tile.column("qid").is_valid().to_numpy(), pc.list_value_length(tile.column("vec")).to_numpy()
+        names, ids = tile.column("qid").to_pylist(), tile.column("fid").to_pylist()
         q_at, f_at, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in np.flatnonzero(mine).tolist():
-            if None in vectors[i] or len(vectors[i]) not in sides:
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            (asking, q), (own, x) = ((at, pc.list_flatten(tile.column("vec").take(pa.array(at))).to_numpy().reshape(-1, n)) for at in (np.flatnonzero(side & (sizes == n)) for side in (mine, ~mine)))
+            if not len(asking) or not len(own):
                 continue
-            x, fids, own = sides[len(vectors[i])]
-            d = _distances(x, np.array(vectors[i]), metric)
-            at = pick(d, fids, names[i])
-            at = at[~np.isnan(d[at])]
-            q_at.append(np.full(len(at), i))
-            f_at.append(own[at])
-            scores.append(d[at])
+            fids = np.array([ids[i] for i in own], None if isinstance(ids[own[0]], int) else object)
+            for i, v in zip(asking.tolist(), q, strict=True):
+                d = _distances(x, v, metric)  # no number where a component is null or none
+                at = pick(d, fids, names[i])
+                at = at[~np.isnan(d[at])]
+                q_at.append(np.full(len(at), i))
+                f_at.append(own[at])
+                scores.append(d[at])
         q, f = pa.array(np.concatenate(q_at)), pa.array(np.concatenate(f_at))
         return pa.table([tile.column("qid").take(q), tile.column("fid").take(f), pa.array(np.concatenate(scores))], [query_id, fact_id, "score"])
 
@@ -92,7 +89,7 @@ def knn(queries: DataFrame, facts: DataFrame, k: int, metric: str = "cosine", on
     """
 
     def nearest(d: np.ndarray, fids: np.ndarray, own: object) -> np.ndarray:
-        at = np.flatnonzero(fids != own) if distinct else np.arange(len(d))
+        at = np.flatnonzero(~np.isnan(d) & (fids != own) if distinct else ~np.isnan(d))
         if len(at) > k:
             at = at[d[at] <= np.partition(d[at], k - 1)[k - 1]]
         return np.array(sorted(at.tolist(), key=lambda i: (d[i], fids[i]))[:k], np.int64)

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -363,3 +364,24 @@ def test_variants_and_confidence_gate(spark):
     variants = spark.createDataFrame([(1, 1, [1.0, 0.0], ["oslo"])], "query_id int, variant_ord int, q array<float>, terms array<string>")
     found = recall.smart_recall(q, facts, edges, 1000, s=s, variants=variants)
     assert found.status.first().status == "confident" and {r.fact_id for r in found.recalled().collect()} == {"a1", "a2"}
+
+
+def test_knn_tiles(spark):
+    """Against brute force: ties, nulls, other lengths, string ids, users of many facts cut into shares, and blocks of queries."""
+    import random
+
+    rng = random.Random(3)
+    vectors = [(f"f{i:03d}", "abc"[i % 3] if i % 2 else "a", [float(rng.randrange(-3, 4)) for _ in range(3)]) for i in range(120)]
+    odd = [("n1", "a", None), ("n2", "a", [1.0, None, 2.0]), ("n3", "a", [1.0]), ("n4", None, [1.0, 1.0, 1.0]), ("n5", "a", []), ("n6", "a", [float("nan"), 0.0, 1.0])]
+    facts = spark.createDataFrame(vectors + odd, "fact_id string, user_id string, embedding array<float>").repartition(3)
+    asked = [(i, u, v) for i, (_, u, v) in enumerate(vectors[:20])] + [(90, "a", None), (91, "a", [1.0, None, 0.0]), (92, "z", [1.0, 1.0, 1.0])]
+    queries = spark.createDataFrame(asked, "query_id int, user_id string, q array<float>")
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    for on in ([], ["user_id"]):
+        tiles = search._tiled(queries, facts, "l2sq", on, "query_id", "fact_id", lambda d, f, q: np.arange(len(d)), share=7, block=4)
+        want = {(i, f): far(v, x) for i, u, v in asked[:20] + ([] if on else asked[22:]) for f, w, x in vectors + ([] if on else odd[3:4]) if not on or u == w}
+        assert {(r.query_id, r.fact_id): r.score for r in tiles.collect()} == want
+        got = {}
+        for r in search.knn(queries, facts, 4, "l2sq", on=on).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.score, r.fact_id))
+        assert got == {i: sorted((d, f) for (j, f), d in want.items() if j == i)[:4] for i in {i for i, _ in want}}

@@ -59,19 +59,25 @@ def surfaces(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 def find_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
     """The entity of each (query_id, user_id, name): by canonical name, else by alias, else by prefix (ASCII letters of either case), the most mentioned one.
 
-    Of several on the same level the least entity_id counts, for prefixes the most mentioned first.
+    Of several on the same level the least entity_id counts, for prefixes the most mentioned first. Each surface and each beginning of a name is
+    reduced to its best entity before it meets the queries, so no query is paired with all names of its user. A name that stands for
+    several entities is cut once, to the lengths of the names asked that no surface equals.
     """
-    asked = queries.select("query_id", "user_id", T.normalize_name(F.col("name")).alias("name"))
-    mentions = entities.select("entity_id", "mention_count")
-    known = surfaces(entities, aliases).withColumnRenamed("user_id", "_u")
-    exact = asked.join(known, (F.col("name") == F.col("surface")) & (F.col("user_id") == F.col("_u")))
-    found = exact.select("query_id", "entity_id", F.col("how").alias("level"), F.lit(0).cast("long").alias("_m"))
+    asked = queries.select("query_id", "user_id", T.normalize_name(F.col("name")).alias("name")).where("user_id is not null and name is not null")
+    best = F.min(F.struct(F.col("how").alias("level"), F.lit(0).cast("long").alias("_m"), "entity_id")).alias("_b")
+    known = surfaces(entities, aliases).withColumnRenamed("surface", "name").groupBy("user_id", "name").agg(best)
+    found = asked.join(known, ["user_id", "name"], "left" if fuzzy else "inner")
     if fuzzy:
-        named = entities.select("entity_id", F.lower("canonical_name").alias("_c"), F.col("user_id").alias("_u"))
-        prefix = asked.join(named, (F.col("user_id") == F.col("_u")) & F.startswith(F.col("_c"), F.lower("name")))
-        found = found.unionByName(prefix.join(mentions, "entity_id").select("query_id", "entity_id", F.lit(2).alias("level"), (-F.col("mention_count")).cast("long").alias("_m")))
-    best = F.min(F.struct("level", "_m", "entity_id")).alias("_b")
-    return found.groupBy("query_id").agg(best).select("query_id", F.col("_b.entity_id").alias("entity_id"), F.col("_b.level").alias("level"))
+        found = found.withColumn("_p", F.lower("name"))
+        sought = found.where("_b is null").select("user_id", "_p").distinct()
+        lengths = sought.select(F.char_length("_p").alias("_k")).distinct().agg(F.collect_list("_k").alias("_ks"))  # one row
+        first = F.min(F.struct(F.lit(2).alias("level"), (-F.col("mention_count")).cast("long").alias("_m"), "entity_id")).alias("_f")
+        named = entities.where("entity_id is not null").groupBy("user_id", F.lower("canonical_name").alias("_c")).agg(first)
+        cut = F.transform(F.filter("_ks", lambda k: k <= F.char_length("_c")), lambda k: F.substring(F.col("_c"), F.lit(1), k))
+        begun = named.crossJoin(F.broadcast(lengths)).select("user_id", F.explode(cut).alias("_p"), "_f").groupBy("user_id", "_p").agg(F.min("_f").alias("_f"))
+        prefix = begun.join(sought, ["user_id", "_p"], "left_semi")
+        found = found.join(prefix, ["user_id", "_p"], "left").withColumn("_b", F.coalesce("_b", "_f")).where("_b is not null")
+    return found.groupBy("query_id").agg(F.min("_b").alias("_b")).select("query_id", F.col("_b.entity_id").alias("entity_id"), F.col("_b.level").alias("level"))
 
 
 def upsert_entities(new: DataFrame, entities: DataFrame, aliases: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:

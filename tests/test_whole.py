@@ -86,3 +86,42 @@ def test_text_operators_read_whole_texts(spark, tmp_path):
     assert safe[0].clean.count("[redacted]") == 2 and safe[1].clean.endswith(long + "tail")
     block = QUERIES["format_block"](spark, str(tmp_path)).first().block
     assert block.count(long) == 2 and "[redacted-marker]" in block and block.count("End of Memories") <= 1
+
+
+def most_joined(df):
+    """The rows of df, and the most rows that one join of its plan gave out."""
+    rows, todo, most = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            most = max(most, node.metrics().apply("numOutputRows").value()) if "Join" in kind else most
+            todo += [node.children().apply(k) for k in range(node.children().size())]
+    return rows, most
+
+
+def test_aliases_of_equal_names_are_not_paired(spark, tmp_path):
+    """Names, aliases and beginnings that many entities of one user share: joins stay in proportion to the tables."""
+    import pyarrow as pa
+
+    n = 600
+    parts = [(k, ["red ring", "Red bolt", "blue gear"][k % 3], "t", f"Brand#{k % 2}") for k in range(n)]
+    pq.write_table(pa.table(dict(zip(("p_partkey", "p_name", "p_type", "p_brand"), map(list, zip(*parts, strict=True)), strict=True))), tmp_path / "part.parquet")
+    lines = pa.table({"l_orderkey": [1, 2, 3], "l_partkey": [4, 4, 7], "l_shipdate": pa.array([0, 0, 0], pa.timestamp("us"))})
+    pq.write_table(lines, tmp_path / "lineitem.parquet")
+    mentions, want = {4: 2, 7: 1}, set()
+    for q, name, _, brand in parts:
+        asked, user = {1: f"alias {brand}", 2: name[:3].upper(), 3: "no such name"}.get(q % 10, name), q // 10 % 5
+        own = [p for p in parts if p[0] % 5 == user]
+        levels = [(0, 0, p[0]) for p in own if p[1] == asked] + [(1, 0, p[0]) for p in own if p[0] % 3 == 0 and f"alias {p[3]}" == asked]
+        levels += [(2, -mentions.get(p[0], 0), p[0]) for p in own if p[1].lower().startswith(asked.lower())]
+        if levels:
+            e = parts[min(levels)[2]]
+            want |= {(q, v) for v in [e[1], *[f"alias {e[3]}"] * (e[0] % 3 == 0)] if v.lower() != asked.lower()}
+    rows, most = most_joined(QUERIES["alias_expand"](spark, str(tmp_path)))
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want) > n / 3
+    assert most <= 2 * n

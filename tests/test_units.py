@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from conftest import most_joined
 from pyspark.sql import functions as F
 
 from recallkit.config import Settings
@@ -385,3 +386,30 @@ def test_knn_tiles(spark):
         for r in search.knn(queries, facts, 4, "l2sq", on=on).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.score, r.fact_id))
         assert got == {i: sorted((d, f) for (j, f), d in want.items() if j == i)[:4] for i in {i for i, _ in want}}
+
+
+def test_find_entities_against_pairs(spark):
+    """Odd names and ties against all pairs; what meets the queries is in proportion to them."""
+    names = ["Red ring", "red RING", "red", "re", "Éa ring", "éa", "日本語", "日本", "x" * 300, "blue gear", "", None]
+    ent = [(k, names[k % 12], ["u", "v", None][k % 7 % 3], k % 5) for k in range(480)]
+    ali = [(k, f"a{k % 4}") for k in range(0, 480, 3)] + [(5, "Red ring"), (999, "red"), (6, None)]
+    forms = ["Red  ring ", "RED", "r", "RE", "éA", "日", "X" * 299, "x" * 301, " ", "a1", "A1", "ghost", "blue\tgear", None, "%", "red r"]
+    asked = [(k // 2 if k % 40 == 1 else k, ["u", "v", None][k % 3], forms[k % 16]) for k in range(480)]
+    user, how = {k: u for k, _, u, _ in ent}, {}
+    for q, u, form in asked:
+        if form is not None and u is not None:
+            n = " ".join(form.split())
+            got = [(0, 0, k) for k, name, own, _ in ent if own == u and name == n] + [(1, 0, k) for k, a in ali if a == n and user.get(k) == u]
+            got += [(2, -m, k) for k, name, own, m in ent if own == u and name is not None and name.lower().startswith(n.lower())]
+            how[q] = min([*got, *([how[q]] if q in how else [])], default=None) or how.get(q)
+    want = {(q, x[2], x[0]) for q, x in how.items() if x}
+    tables = [spark.createDataFrame(ent, "entity_id long, canonical_name string, user_id string, mention_count int"), spark.createDataFrame(ali, "entity_id long, alias string")]
+    queries = spark.createDataFrame(asked, "query_id long, user_id string, name string")
+    for fuzzy in (True, False):
+        rows, most = most_joined(graph.find_entities(queries, *tables, fuzzy))
+        if fuzzy:
+            assert {tuple(r) for r in rows} == want and {x for _, _, x in want} == {0, 1, 2}
+        else:
+            exact = {x for x in want if x[2] < 2}
+            assert exact == {tuple(r) for r in rows}
+        assert len(rows) == len({r.query_id for r in rows}) and most <= 2 * len(asked)

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
+from conftest import most_joined
 
 DIR = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.registry.QUERIES
@@ -88,22 +89,6 @@ def test_text_operators_read_whole_texts(spark, tmp_path):
     assert block.count(long) == 2 and "[redacted-marker]" in block and block.count("End of Memories") <= 1
 
 
-def most_joined(df):
-    """The rows of df, and the most rows that one join of its plan gave out."""
-    rows, todo, most = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
-    while todo:
-        node = todo.pop()
-        kind = node.getClass().getSimpleName()
-        if kind == "AdaptiveSparkPlanExec":
-            todo.append(node.executedPlan())
-        elif kind.endswith("QueryStageExec"):
-            todo.append(node.plan())
-        else:
-            most = max(most, node.metrics().apply("numOutputRows").value()) if "Join" in kind else most
-            todo += [node.children().apply(k) for k in range(node.children().size())]
-    return rows, most
-
-
 def test_aliases_of_equal_names_are_not_paired(spark, tmp_path):
     """Names, aliases and beginnings that many entities of one user share: joins stay in proportion to the tables."""
     import pyarrow as pa

@@ -6,7 +6,7 @@ documents (up to `most`, thousands), and classes of shape (length, kinds of char
 
 The network adds one embedding per side and distance, takes tanh, and gives a softmax in two levels: over groups of MEMBERS tokens, then over the
 tokens of the group, so a prediction costs two short rows instead of the whole vocabulary and still sums to 1. It is trained in numpy
-on every `every`th window of all documents: in each round every task goes through its share in minibatches from the same parameters, and the tasks'
+on all windows of all documents, each once: in each round every task goes through its share in minibatches from the same parameters, and the tasks'
 parameters are averaged, weighted by their windows (block by block, so what is collected is one model). Texts are scored by the network itself.
 
 Within its class each other word of the corpus has a probability of its own (`word_sums`): how often it stands between these two neighbours, of all words
@@ -191,7 +191,7 @@ class Net:
     def run(self, near: np.ndarray, tokens: np.ndarray, gradients: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The tokens' log-probabilities, and the gradients of minus their sum (of embeddings: by window, as "hidden")."""
         group, place = self.places(tokens)
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.uint16), kind="stable")  # 16 bits: sorted by digits
         near, group, place = near[order], group[order], place[order]
         h, rows = self.hidden(near), np.arange(len(order))
         z = h @ self.group + self.group_bias
@@ -239,9 +239,11 @@ class Training:
             seen += d * d
             getattr(net, k)[...] -= self.rate * d / np.sqrt(seen)
         for side in range(len(SIDES)):
-            key = g["near"][:, side]
+            key = g["near"][:, side].astype(np.uint16)
             order = np.argsort(key, kind="stable")
-            names, at = np.unique(key[order], return_index=True)
+            key = key[order]
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+            names = key[at]
             d = np.add.reduceat(g["hidden"][order], at, axis=0) * size
             self.rows[side][names] += (d * d).mean(1)
             net.embed[side][names] -= self.rate * d / np.sqrt(self.rows[side][names])[:, None]
@@ -278,10 +280,10 @@ def _texts(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x.as_py() for x in column), kind).astype(np.int64 if kind is np.uint16 else kind), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def train(texts: DataFrame, net: Net, rounds: int = 2, every: int = 5, batch: int = 4096, blocks: int = 16) -> Net:
+def train(texts: DataFrame, net: Net, rounds: int = 2, every: int = 1, batch: int = 4096, blocks: int = 16) -> Net:
     """The network after `rounds` shares of all texts (`encoded`), each gone through by all tasks from the same parameters, which are averaged.
 
-    Of every text each window whose place is a multiple of `every` (from a start that differs between texts) is learned from: what is gathered grows with the corpus.
+    All windows of every text are learned from, so what is gathered grows with the corpus; every: only those whose place is a multiple of it (from a start that differs between texts).
     """
     spark = texts.sparkSession.sparkContext
     n_words, size = net.n_words, len(net.flat())

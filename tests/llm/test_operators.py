@@ -715,3 +715,18 @@ def test_texts_slices_and_offsets():
     assert first.tolist() == [0, 2, 2, 2, 4, 5] and (t.hash(s, e) == u.hash(*u.words()[:2])).all()
     h = t.hash(s, e)
     assert h[0] == h[3] and h[1] == h[2] and len(set(h.tolist())) == 3
+
+
+def test_lm_learns_from_every_window(spark):
+    """After training by default, the embeddings of all neighbours in all windows have moved, wherever in a text they stand."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(23))
+    df = spark.createDataFrame([(1, text)], "_row long, text string").repartition(1)
+    own = np.sort(np.array([(h & lmscore.WORD).view(np.int64) for h in lmscore.Tokens(np.zeros(0, np.int64), np.zeros(0, np.int64)).read(*lmscore._both(pa.array([text])))[2]]))
+    tokens = lmscore.Tokens(own, 1 + lmscore.SHAPES + np.arange(23))
+    t, first, _ = tokens.read(*lmscore._both(pa.array([text])))
+    start = lmscore.Net(23)
+    moved = (lmscore.train(lmscore.encoded(df, tokens), lmscore.Net(23)).embed != start.embed).any(2)
+    near = lmscore.windows(t, first)
+    assert len(set(t.tolist())) == 23 and all(moved[side, near[k, side]] for k in range(23) for side in range(4))

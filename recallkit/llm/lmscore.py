@@ -40,6 +40,8 @@ END = 0
 SIDES = (-2, -1, 1, 2)
 #: Tokens in a group of the softmax.
 MEMBERS = 64
+#: Logits within this of 0 need no shift before exp, in 32 bits.
+SAFE = 80
 #: Pseudo-counts of an equal share of the class.
 PRIOR = 1.0
 #: Occurrences that one part of the neighbours holds, about.
@@ -129,10 +131,10 @@ def windows(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Each token's neighbours at SIDES, one row per token; END beyond a text's ends."""
     n = len(tokens)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    wide = np.full(n + 2 * len(first) + 2, END, np.int64)
+    wide = np.full(n + 2 * len(first) + 2, END, tokens.dtype)
     at = np.arange(n) + 2 * text + 2  # END stands twice around each text
     wide[at] = tokens
-    return np.stack([wide[at + k] for k in SIDES], 1) if n else np.zeros((0, len(SIDES)), np.int64)
+    return np.stack([wide[at + k] for k in SIDES], 1) if n else np.zeros((0, len(SIDES)), tokens.dtype)
 
 
 class Net:
@@ -170,54 +172,56 @@ class Net:
 
     def places(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each token's group and its place there."""
-        word = tokens - 1 - SHAPES
-        return np.where(word >= 0, word // MEMBERS, self.groups - 1), np.where(word >= 0, word % MEMBERS, tokens - 1)
+        word = tokens.astype(np.int64) - 1 - SHAPES
+        return np.where(word >= 0, word // MEMBERS, self.groups - 1), np.where(word >= 0, word % MEMBERS, word + SHAPES)
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        h = self.base + self.embed[0][near[:, 0]]
+        """The hidden layer, and a column of ones for the biases."""
+        x = self.base + self.embed[0].take(near[:, 0], 0)
         for k in range(1, len(SIDES)):
-            h += self.embed[k][near[:, k]]
-        return np.tanh(h, out=h)
+            x += self.embed[k].take(near[:, k], 0)
+        h = np.ones((len(x), x.shape[1] + 1), x.dtype)
+        np.tanh(x, out=h[:, :-1])
+        return h
 
     @staticmethod
-    def soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities in place of logits, and log of the sums."""
-        top = z.max(1, keepdims=True)
-        np.exp(np.subtract(z, top, out=z), out=z)
-        total = z.sum(1, keepdims=True)
-        z /= total
-        return z, (np.log(total) + top)[:, 0]
+    def soft(z: np.ndarray, weights: np.ndarray, whole: bool) -> np.ndarray:
+        """The logarithms of the sums of exp(z); z becomes the probabilities if whole, else it is used up. weights: of z's inputs, which lie between -1 and 1."""
+        top = 0.0
+        if not np.abs(weights).sum(-2).max(initial=0) < SAFE:  # else no sum of exp can overflow or vanish
+            top = z.max(1)
+            z -= top[:, None]
+        total = np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype)
+        if whole:
+            z /= total[:, None]
+        return np.log(total) + top
 
     def run(self, near: np.ndarray, tokens: np.ndarray, gradients: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """The tokens' log-probabilities, and the gradients of minus their sum (of embeddings: by window, as "hidden")."""
         group, place = self.places(tokens)
         order = np.argsort(group.astype(np.uint16), kind="stable")  # 16 bits: sorted by digits
-        near, group, place = near[order], group[order], place[order]
+        near, group, place = near.take(order, 0), group[order], place[order]
+        cuts = np.searchsorted(group, np.arange(self.groups + 1)).tolist()
+        spans = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         h, rows = self.hidden(near), np.arange(len(order))
-        z = h @ self.group + self.group_bias
-        out = z[rows, group].copy()
-        p, total = self.soft(z)
-        out -= total
+        outer, inner = np.concatenate([self.group, self.group_bias[None]]), np.concatenate([self.member, self.member_bias[:, None]], 1)
+        p, q = h @ outer, np.empty((len(order), MEMBERS), h.dtype)  # of groups, and inside each token's group
+        for k, a, b in spans:
+            np.matmul(h[a:b], inner[k], out=q[a:b])
+        out = p[rows, group] + q[rows, place]
+        out -= self.soft(p, outer, gradients) + self.soft(q, inner, gradients)
         g: dict[str, np.ndarray] = {}
         if gradients:
             p[rows, group] -= 1
-            g = {"group": h.T @ p, "group_bias": p.sum(0), "member": np.zeros_like(self.member), "member_bias": np.zeros_like(self.member_bias)}
+            q[rows, place] -= 1
+            by_group, by_member, within = h.T @ p, np.zeros_like(inner), np.empty((len(order), h.shape[1] - 1), h.dtype)
+            for k, a, b in spans:
+                np.matmul(h[a:b].T, q[a:b], out=by_member[k])
+                np.matmul(q[a:b], self.member[k].T, out=within[a:b])
             back = p @ self.group.T
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else group
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(group)], strict=True):
-            k = int(group[a])
-            z = h[a:b] @ self.member[k] + self.member_bias[k]
-            own = np.arange(b - a)
-            value = z[own, place[a:b]].copy()
-            p, total = self.soft(z)
-            out[a:b] += value - total
-            if gradients:
-                p[own, place[a:b]] -= 1
-                g["member"][k], g["member_bias"][k] = h[a:b].T @ p, p.sum(0)
-                back[a:b] += p @ self.member[k].T
-        if gradients:
-            back *= 1 - h * h
-            g["hidden"], g["near"], g["base"] = back, near, back.sum(0)
+            back += within
+            back *= 1 - h[:, :-1] ** 2
+            g = {"group": by_group[:-1], "group_bias": by_group[-1], "member": by_member[:, :-1], "member_bias": by_member[:, -1], "hidden": back, "near": near, "base": back.sum(0)}
         logs = np.empty(len(order), np.float32)
         logs[order] = out
         return logs, g
@@ -244,8 +248,8 @@ class Training:
             key = key[order]
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
             names = key[at]
-            d = np.add.reduceat(g["hidden"][order], at, axis=0) * size
-            self.rows[side][names] += (d * d).mean(1)
+            d = np.add.reduceat(g["hidden"].take(order, 0), at, axis=0) * size
+            self.rows[side][names] += np.einsum("ij,ij->i", d, d) / np.float32(d.shape[1])
             net.embed[side][names] -= self.rate * d / np.sqrt(self.rows[side][names])[:, None]
         self.n += len(tokens)
 
@@ -277,7 +281,7 @@ def encoded(df: DataFrame, tokens: Tokens, row: str = "_row", text: str = "text"
 def _texts(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all texts, one after the other, and where each begins."""
     sizes = np.array([len(x.as_py()) for x in column], np.int64) // np.dtype(kind).itemsize
-    return np.frombuffer(b"".join(x.as_py() for x in column), kind).astype(np.int64 if kind is np.uint16 else kind), np.concatenate([[0], np.cumsum(sizes)])
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def train(texts: DataFrame, net: Net, rounds: int = 2, every: int = 1, batch: int = 4096, blocks: int = 16) -> Net:
@@ -298,9 +302,10 @@ def train(texts: DataFrame, net: Net, rounds: int = 2, every: int = 1, batch: in
             for rows in batches:
                 t, first = _texts(rows.column("tokens"), np.uint16)
                 place = np.arange(len(t)) - np.repeat(first[:-1] - np.arange(len(first) - 1), np.diff(first))
-                near, order = windows(t, first), rng.permutation(np.flatnonzero(place % every == 0))
+                order = rng.permutation(np.flatnonzero(place % every == 0))
+                near, t = windows(t, first).take(order, 0), t[order]
                 for a in range(0, len(order), batch):
-                    work.step(near[order[a : a + batch]], t[order[a : a + batch]])
+                    work.step(near[a : a + batch], t[a : a + batch])
             if work.n:
                 values = work.net.flat()
                 parts = [values[a : a + step].tobytes() for a in range(0, size, step)]
@@ -346,7 +351,7 @@ def word_sums(texts: DataFrame, n_rest: int, sizes: np.ndarray) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, first = _texts(batch.column("keys"), np.uint64)
-            word = _texts(batch.column("words"), np.uint16)[0].astype(np.uint16)
+            word = _texts(batch.column("words"), np.uint16)[0]
             rows = batch.column("row").to_numpy()
             text = np.repeat(np.arange(len(rows)), np.diff(first)).astype(np.uint16 if len(rows) <= 1 << 16 else np.uint32)
             part = (key >> bits).astype(np.int64)

@@ -730,3 +730,29 @@ def test_lm_learns_from_every_window(spark):
     moved = (lmscore.train(lmscore.encoded(df, tokens), lmscore.Net(23)).embed != start.embed).any(2)
     near = lmscore.windows(t, first)
     assert len(set(t.tolist())) == 23 and all(moved[side, near[k, side]] for k in range(23) for side in range(4))
+
+
+@pytest.mark.parametrize("scale", [0.1, 40.0])  # logits within bounds, and beyond what exp holds in 32 bits
+def test_lm_softmax_of_all_groups_at_once(monkeypatch, scale):
+    """Log-probabilities against plain ones in 64 bits; a batch costs two softmaxes, however many groups its words are in."""
+    rng = np.random.default_rng(8)
+    net, calls, soft = lmscore.Net(1000, width=6), [], lmscore.Net.soft
+    for k in net.NAMES:
+        if "bias" not in k:
+            setattr(net, k, rng.normal(0, scale, getattr(net, k).shape).astype(np.float32))
+    near, t = rng.integers(0, 1065, (500, 4)).astype(np.uint16), rng.integers(1, 1065, 500).astype(np.uint16)
+    monkeypatch.setattr(lmscore.Net, "soft", staticmethod(lambda *a: calls.append(1) or soft(*a)))
+    got, g = net.run(near, t, True)
+    assert len(calls) == 2
+    h = np.tanh(net.base + sum(net.embed[k][near[:, k]] for k in range(4))).astype(np.float64)
+    group, place = net.places(t)
+
+    def plain(z: np.ndarray) -> np.ndarray:
+        z = z - z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+    outer = plain(h @ net.group + net.group_bias)
+    inner = plain(np.einsum("nw,nwm->nm", h, net.member[group]) + net.member_bias[group])
+    assert np.allclose(got, outer[range(500), group] + inner[range(500), place], rtol=1e-4, atol=1e-3) and len(set(group.tolist())) == 17
+    assert np.isfinite(got).all() and all(np.isfinite(x).all() for x in g.values())
+    assert (net.run(near, t)[0] == got).all()

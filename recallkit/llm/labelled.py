@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallkit.session import discard, materialize
 
+from .textvec import trim
+
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_bytes: int, doc: str = "doc_id", text: str = "text") -> tuple[list[str], np.ndarray]:
     """At most `rows` whole texts of at most `most_bytes` together, with their labels.
@@ -30,6 +33,11 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, mo
     if len(fits) < found.count():
         fitting = docs.sparkSession.createDataFrame(fits, found.select("_doc", "_label").schema)
         kept = found.join(F.broadcast(fitting), ["_doc", "_label"], "left_semi")
-    table = kept.toArrow().sort_by([("_doc", "ascending"), ("_label", "ascending")])
+    table = kept.toArrow()
     discard(found)
-    return table.column("_text").to_pylist(), table.column("_label").to_numpy()
+    order = pc.sort_indices(table, [("_doc", "ascending"), ("_label", "ascending")])
+    values, where = table.column("_text").to_pylist(), order.to_pylist()
+    labels_of = table.column("_label").to_numpy()[order.to_numpy()]
+    del table
+    trim()  # the copies in Arrow
+    return [values[k] for k in where], labels_of

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from recallkit.session import broadcast_if_small, materialize
 
 from .labelled import labelled_texts
-from .textvec import SPACE, Texts, slices
+from .textvec import SPACE, Texts, slices, trim
 
 TAIL_BITS = 12
 CLASSES = 8
@@ -101,7 +101,9 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 200, rate: float = 0
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, most_bytes: int = 48 << 20, doc: str = "doc_id", text: str = "text") -> Model:
     """A model from at most `rows` labels and `most_bytes` of whole texts."""
-    return fit(*labelled_texts(docs, labels, "quality", rows, most_bytes, doc, text))
+    model = fit(*labelled_texts(docs, labels, "quality", rows, most_bytes, doc, text))
+    trim()  # the driver goes on with other work
+    return model
 
 
 def evidence(df: DataFrame, model: Model, text: str = "text", out: str = "evidence") -> DataFrame:

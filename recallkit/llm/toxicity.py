@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_texts
-from .textvec import ALNUM, Texts, mix, shingle_sets, slices
+from .textvec import ALNUM, Texts, mix, shingle_sets, slices, trim
 
 #: Bits of the table that passes over most features which a model doesn't have.
 BITS = 18
@@ -101,17 +101,28 @@ class Model:
 NONE = Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
 
 
-def unlike(texts: list[str]) -> np.ndarray:
+def unlike(texts: list[str], step: int = 32) -> np.ndarray:
     """Which texts share neither of two MinHash values of their shingles with an earlier one: copies would count their words as evidence again."""
     keep, seen = np.ones(len(texts), bool), set()
-    for a in range(0, len(texts), 256):
-        for i, s in enumerate(shingle_sets(Texts(pa.array(texts[a : a + 256]), lower=True)), a):
+    for a in range(0, len(texts), step):
+        for i, s in enumerate(shingle_sets(Texts(pa.array(texts[a : a + step]), lower=True)), a):
             keys = {int(s.min()), -int(mix(s).min()) - 1} if len(s) else {0}
             keep[i] = not keys & seen
             seen |= keys
     return keep
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts in one array; each is let go as soon as it is copied."""
+    out, at = np.empty(sum(map(len, parts)), parts[0].dtype), 0
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
 @dataclass
 class Bags:
     """Sentences (each one's document) and the features in them (sentence, feature number), of documents labelled toxic or not."""
@@ -123,13 +134,14 @@ class Bags:
     toxic: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str], toxic: np.ndarray, holders: int, step: int = 128) -> Bags:
+    def of(cls, texts: list[str], toxic: np.ndarray, holders: int, step: int = 32) -> Bags:
         """With the features that at least `holders` toxic documents have."""
         held = []
         for k in np.flatnonzero(toxic).tolist():
             held.append(np.unique(features(Texts(pa.array([texts[k]]), lower=True))[0]))
         names, n = np.unique(np.concatenate(held), return_counts=True)
         names = names[n >= holders]
+        del held
         table, rows, cols, docs, base = marked(names), [], [], [], 0
         for a in range(0, len(texts), step):
             hashes, owner, _, first = features(Texts(pa.array(texts[a : a + step]), lower=True))
@@ -140,11 +152,21 @@ class Bags:
             cols.append((pairs % max(len(names), 1)).astype(np.int32))
             docs.append(np.searchsorted(first, present, side="right") - 1 + a)
             base += len(present)
-        return cls(np.concatenate(docs), np.concatenate(rows), np.concatenate(cols), names, toxic)
+        return cls(np.concatenate(docs), _joined(rows), _joined(cols), names, toxic)
+
+    def spans(self, most: int = 1 << 18) -> list[tuple[int, int, int, int]]:
+        """Cuts of the pairs between sentences, about `most` pairs each: from and to which sentence and pair. What is worked out of pairs is then small."""
+        at = np.searchsorted(self.row, np.arange(len(self.doc) + 1, dtype=self.row.dtype))  # pairs are in the order of sentences; of one type, or all are copied
+        out, a = [], 0
+        while a < len(self.doc):
+            b = max(a + 1, int(np.searchsorted(at, at[a] + most, side="right")) - 1)
+            out.append((a, b, int(at[a]), int(at[b])))
+            a = b
+        return out
 
     def only(self, keep: np.ndarray) -> Bags:
         on = keep[self.col]
-        return Bags(self.doc, self.row[on], (np.cumsum(keep) - 1)[self.col[on]], self.names[keep], self.toxic)
+        return Bags(self.doc, self.row[on], (np.cumsum(keep) - 1).astype(np.int32)[self.col[on]], self.names[keep], self.toxic)
 
 
 def slope(toxic: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -155,12 +177,17 @@ def slope(toxic: np.ndarray, total: np.ndarray) -> np.ndarray:
 def chosen(bags: Bags, l1: float, epochs: int = 100, rate: float = 0.1) -> tuple[Bags, np.ndarray, float]:
     """Adam on the noisy-or's mean log loss with an L1 penalty (its proximal step); features at zero leave at epochs 40, 80 and the end."""
     n, w, b = len(bags.toxic), np.zeros(len(bags.names)), -6.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m, v, spans = np.zeros(len(w) + 1), np.zeros(len(w) + 1), bags.spans()
+    z = np.empty(len(bags.doc))
     for t in range(1, epochs + 1):
-        z = b + np.bincount(bags.row, w[bags.col], len(bags.doc))
+        for a, e, i, j in spans:
+            z[a:e] = b + np.bincount(bags.row[i:j] - a, w[bags.col[i:j]], e - a)
         total = np.maximum(np.bincount(bags.doc, np.logaddexp(0, z), n), 1e-9)
         g_row = slope(bags.toxic, total)[bags.doc] / n / (1 + np.exp(-z))
-        g = np.clip(np.append(np.bincount(bags.col, g_row[bags.row], len(w)), g_row.sum()), -1, 1)
+        g_col = np.zeros(len(w))
+        for _, _, i, j in spans:
+            g_col += np.bincount(bags.col[i:j], g_row[bags.row[i:j]], len(w))
+        g = np.clip(np.append(g_col, g_row.sum()), -1, 1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         pace = rate / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
         step = pace * m / (1 - 0.9**t)
@@ -169,19 +196,27 @@ def chosen(bags: Bags, l1: float, epochs: int = 100, rate: float = 0.1) -> tuple
         if t in (40, 80, epochs):
             keep = w != 0
             bags, w, m, v = bags.only(keep), w[keep], m[np.append(keep, True)], v[np.append(keep, True)]
+            spans = bags.spans()
     return bags, w, b
 
 
+def blocks(x: np.ndarray, rows: int = 1 << 14) -> Iterator[tuple[slice, np.ndarray]]:
+    """Some rows of x at a time, as floating-point numbers."""
+    for a in range(0, len(x), rows):
+        yield slice(a, a + rows), x[a : a + rows].astype(np.float64)
+
+
 def loss(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, bare: np.ndarray, toxic: np.ndarray, ridge: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """The noisy-or's log loss with the ridge, each sentence's logit, and each document's sum of -log(1 - p). x: sentences with features (the last column is 1); bare: sentences without any, per document."""
-    z = x @ theta
+    z = np.concatenate([np.zeros(0), *[part @ theta for _, part in blocks(x)]])
     total = np.maximum(np.bincount(doc, np.logaddexp(0, z), len(toxic)) + bare * np.logaddexp(0, theta[-1]), 1e-9)
     return float(np.where(toxic, -np.log(-np.expm1(-total)), total).sum() + (ridge * theta**2).sum() / 2), z, total
 
 
 def gradient(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, bare: np.ndarray, toxic: np.ndarray, ridge: np.ndarray, z: np.ndarray, total: np.ndarray) -> np.ndarray:
     d = slope(toxic, total)
-    g = x.T @ (d[doc] / (1 + np.exp(-z))) + ridge * theta
+    by_row = d[doc] / (1 + np.exp(-z))
+    g = sum((part.T @ by_row[at] for at, part in blocks(x)), ridge * theta)
     g[-1] += (d * bare).sum() / (1 + np.exp(-theta[-1]))
     return g
 
@@ -189,12 +224,15 @@ def gradient(theta: np.ndarray, x: np.ndarray, doc: np.ndarray, bare: np.ndarray
 def fit(texts: list[str], labels: np.ndarray, l1: float = 3e-4, ridge: float = 0.1, holders: int = 3, steps: int = 60) -> Model:
     """The features that the penalised loss chooses, with the weights that the loss with a ridge gives them."""
     keep = unlike(texts)
+    trim()  # small pieces that it left, here and below: driver memory is scarce
     texts, toxic = [t for t, k in zip(texts, keep.tolist(), strict=True) if k], labels[keep] > 0
     if not toxic.any() or toxic.all():
         return NONE
-    bags, w, b = chosen(Bags.of(texts, toxic, holders), l1)
+    bags = Bags.of(texts, toxic, holders)
+    trim()
+    bags, w, b = chosen(bags, l1)
     some, at = np.unique(bags.row, return_inverse=True)
-    x = np.zeros((len(some), len(w) + 1))
+    x = np.zeros((len(some), len(w) + 1), np.int8)
     x[:, -1], x[at, bags.col] = 1, 1
     doc = bags.doc[some]
     bare = np.bincount(bags.doc, minlength=len(toxic)) - np.bincount(doc, minlength=len(toxic))
@@ -204,7 +242,8 @@ def fit(texts: list[str], labels: np.ndarray, l1: float = 3e-4, ridge: float = 0
     for _ in range(steps):
         g = gradient(theta, *data, z, total)
         p, rest = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-theta[-1]))
-        curved = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-6)  # of the logistic losses of sentences
+        curve = p * (1 - p)
+        curved = sum(((part * curve[at, None]).T @ part for at, part in blocks(x)), np.diag(penalty + 1e-6))  # of the logistic losses of sentences
         curved[-1, -1] += bare.sum() * rest * (1 - rest)
         way, pace = np.linalg.solve(curved, g), 1.0
         after = loss(theta - way, *data)
@@ -223,7 +262,9 @@ def held_out(doc: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, most_bytes: int = 48 << 20, doc: str = "doc_id", text: str = "text") -> Model:
     """A model from at most `rows` labels and `most_bytes` of whole texts, none of them held out."""
-    return fit(*labelled_texts(docs, labels.where(~held_out(F.col(doc))), "toxic", rows, most_bytes, doc, text))
+    model = fit(*labelled_texts(docs, labels.where(~held_out(F.col(doc))), "toxic", rows, most_bytes, doc, text))
+    trim()  # the driver goes on with other work
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

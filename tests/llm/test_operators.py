@@ -756,3 +756,21 @@ def test_lm_softmax_of_all_groups_at_once(monkeypatch, scale):
     assert np.allclose(got, outer[range(500), group] + inner[range(500), place], rtol=1e-4, atol=1e-3) and len(set(group.tolist())) == 17
     assert np.isfinite(got).all() and all(np.isfinite(x).all() for x in g.values())
     assert (net.run(near, t)[0] == got).all()
+
+
+def test_toxicity_fit_keeps_driver_memory_small():
+    """Working memory of the choice of features is far below the pairs of sentences and features; the cuts between sentences cover all pairs."""
+    import tracemalloc
+
+    n, rng = 200_000, np.random.default_rng(2)
+    row, col = np.repeat(np.arange(n, dtype=np.int32), 20), rng.integers(0, 500, 20 * n).astype(np.int32)
+    bags = toxicity.Bags(np.arange(n) // 20, row, col, np.arange(500, dtype=np.uint64), np.arange(n // 20) % 10 == 0)
+    tracemalloc.start()
+    try:
+        left, w, _ = toxicity.chosen(bags, 1e6, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(left.names) == len(w) == 0 and peak < 6 * len(row), peak  # one number in 64 bits for each pair would be 8
+    cuts = bags.spans(1000)
+    assert [c[0] for c in cuts[1:]] == [c[1] for c in cuts[:-1]] and cuts[-1][1] == n and cuts[-1][3] == len(row) and max(c[3] - c[2] for c in cuts) <= 1000

@@ -59,24 +59,28 @@ def surfaces(entities: DataFrame, aliases: DataFrame) -> DataFrame:
 def find_entities(queries: DataFrame, entities: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
     """The entity of each (query_id, user_id, name): by canonical name, else by alias, else by prefix (ASCII letters of either case), the most mentioned one.
 
-    Of several on the same level the least entity_id counts, for prefixes the most mentioned first. Each surface and each beginning of a name is
-    reduced to its best entity before it meets the queries, so no query is paired with all names of its user. A name that stands for
-    several entities is cut once, to the lengths of the names asked that no surface equals.
+    Of several on the same level the least entity_id counts, for prefixes the most mentioned first; an entity without an id is none. Names asked
+    and surfaces are grouped in one shuffle, and queries meet one answer for each name, so no query is paired with all names of its user. A name
+    that stands for several entities is cut once, to the lengths of the names asked that no surface equals. Names can't be null after the
+    first filter, and both readers of the groups use all their columns: else Spark adds filters or drops columns, and groups anew for each reader.
     """
-    asked = queries.select("query_id", "user_id", T.normalize_name(F.col("name")).alias("name")).where("user_id is not null and name is not null")
-    best = F.min(F.struct(F.col("how").alias("level"), F.lit(0).cast("long").alias("_m"), "entity_id")).alias("_b")
-    known = surfaces(entities, aliases).withColumnRenamed("surface", "name").groupBy("user_id", "name").agg(best)
-    found = asked.join(known, ["user_id", "name"], "left" if fuzzy else "inner")
+    asked = queries.where("user_id is not null and name is not null")
+    asked = asked.select("query_id", "user_id", F.coalesce(T.normalize_name(F.col("name")), F.lit("")).alias("name"))
+    forms = surfaces(entities, aliases).where("user_id is not null and surface is not null and entity_id is not null")
+    forms = forms.select("user_id", F.coalesce("surface", F.lit("")).alias("name"), F.when(F.col("how") == 0, F.col("entity_id")).alias("_e0"), F.when(F.col("how") == 1, F.col("entity_id")).alias("_e1"), F.lit(False).alias("_q"))
+    both = forms.unionByName(asked.select("user_id", "name", F.lit(True).alias("_q")), allowMissingColumns=True)
+    known = both.groupBy("user_id", "name").agg(F.min("_e0").alias("_e0"), F.min("_e1").alias("_e1"), F.max("_q").alias("_q")).where("_q")
+    same = F.struct(F.when(F.col("_e0").isNull(), 1).otherwise(0).alias("level"), F.lit(0).cast("long").alias("_m"), F.coalesce("_e0", "_e1").alias("entity_id"))
+    answers = known.where("_e0 is not null or _e1 is not null").select("user_id", "name", same.alias("_b"))
     if fuzzy:
-        found = found.withColumn("_p", F.lower("name"))
-        sought = found.where("_b is null").select("user_id", "_p").distinct()
-        lengths = sought.select(F.char_length("_p").alias("_k")).distinct().agg(F.collect_list("_k").alias("_ks"))  # one row
-        first = F.min(F.struct(F.lit(2).alias("level"), (-F.col("mention_count")).cast("long").alias("_m"), "entity_id")).alias("_f")
+        sought = known.where("_e0 is null and _e1 is null").select("user_id", "name", F.lower("name").alias("_p"))
+        lengths = sought.select(F.char_length("_p").alias("_k")).distinct()
+        first = F.min(F.struct(F.lit(2).alias("level"), (-F.col("mention_count")).cast("long").alias("_m"), "entity_id")).alias("_b")
         named = entities.where("entity_id is not null").groupBy("user_id", F.lower("canonical_name").alias("_c")).agg(first)
-        cut = F.transform(F.filter("_ks", lambda k: k <= F.char_length("_c")), lambda k: F.substring(F.col("_c"), F.lit(1), k))
-        begun = named.crossJoin(F.broadcast(lengths)).select("user_id", F.explode(cut).alias("_p"), "_f").groupBy("user_id", "_p").agg(F.min("_f").alias("_f"))
-        prefix = begun.join(sought, ["user_id", "_p"], "left_semi")
-        found = found.join(prefix, ["user_id", "_p"], "left").withColumn("_b", F.coalesce("_b", "_f")).where("_b is not null")
+        cut = named.join(F.broadcast(lengths), F.col("_k") <= F.char_length("_c")).select("user_id", F.substring("_c", F.lit(1), F.col("_k")).alias("_p"), "_b")
+        begun = cut.groupBy("user_id", "_p").agg(F.min("_b").alias("_b"))
+        answers = answers.unionByName(sought.join(begun, ["user_id", "_p"]).select("user_id", "name", "_b"))
+    found = asked.join(answers, ["user_id", "name"])
     return found.groupBy("query_id").agg(F.min("_b").alias("_b")).select("query_id", F.col("_b.entity_id").alias("entity_id"), F.col("_b.level").alias("level"))
 
 

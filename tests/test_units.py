@@ -413,3 +413,22 @@ def test_find_entities_against_pairs(spark):
             exact = {x for x in want if x[2] < 2}
             assert exact == {tuple(r) for r in rows}
         assert len(rows) == len({r.query_id for r in rows}) and most <= 2 * len(asked)
+
+
+def test_find_entities_reads_each_table_in_few_scans(spark, tmp_path):
+    """The groups of names are made once and read twice; an entity without an id hides no other."""
+    ent = [(1, "Red ring", "u", 1), (2, "Red rose", "u", 3), (None, "red", "u", 9), (None, "blue", "u", 1), (3, "green", "u", 1), (4, "Red rope", "u", 3)]
+    ali = [(3, "red"), (1, "crimson")]
+    asked = [(1, "u", "red"), (2, "u", "RED R"), (3, "u", "blue"), (4, "u", "crimson"), (5, "u", "gree"), (6, "v", "red"), (7, "u", " Red   rose"), (8, "u", "none")]
+    tables = {"q": (asked, "query_id long, user_id string, name string"), "e": (ent, "entity_id long, canonical_name string, user_id string, mention_count int"), "a": (ali, "entity_id long, alias string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    found = graph.find_entities(*(spark.read.parquet(f"{tmp_path}/{name}") for name in tables))
+    assert {tuple(r) for r in found.collect()} == {(1, 3, 1), (2, 2, 2), (4, 1, 1), (5, 3, 2), (7, 2, 0)}
+    todo, scans = [found._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        scans += kind == "FileSourceScanExec"
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    assert scans <= 6
